@@ -7,10 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, simhash, topk, vectorjoin
+from . import bytebpe, pii, simhash, topk, vectorjoin
 from .common import table
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bytebpe.encode_decode(docs, tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorjoin.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -28,6 +42,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_bytebpe": op3_bytebpe,
     "op4_vectors": op4_vectors,
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
