@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, pii, simhash, topk, vectorjoin
+from . import bytebpe, packing, pii, simhash, topk, vectorjoin
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorjoin.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bytebpe": op3_bytebpe,
     "op4_vectors": op4_vectors,
+    "op5_packing": op5_packing,
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
     "op10_topk": op10_topk,
