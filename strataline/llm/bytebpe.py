@@ -20,15 +20,15 @@ from pyspark.sql import types as T
 
 from .common import fresh
 
-#: Words that are looked at together, and words that a task remembers.
-WORDS_AT_ONCE, REMEMBERED = 250_000, 300_000
+#: Words that are looked at together, and words that a Python worker remembers.
+WORDS_AT_ONCE, REMEMBERED = 250_000, 500_000
 #: Words of more bytes contract all pairs of the lowest rank in one round where no merge can come between them.
 LONG = 200
 
 #: A word's tokens stand in a list between rounds; a round lays them out as rows, joins and contracts one pair.
 ONE_PAIR = """
 WITH RECURSIVE state(word, toks, done) AS (
-  SELECT word, list(tok ORDER BY pos), false FROM start_rows GROUP BY word
+  SELECT word, toks, false FROM start_lists
   UNION ALL
   (WITH best AS (
      SELECT p.word, min(m.merged * 1048576 + p.pos) AS least FROM (
@@ -37,9 +37,8 @@ WITH RECURSIVE state(word, toks, done) AS (
    SELECT s.word, CASE WHEN b.word IS NULL THEN s.toks ELSE
             s.toks[:b.least % 1048576 - 1] || [b.least // 1048576] || s.toks[b.least % 1048576 + 2:] END, b.word IS NULL
    FROM state s LEFT JOIN best b ON b.word = s.word WHERE NOT s.done)),
-fixed AS (SELECT word, unnest(toks) AS tok, unnest(range(len(toks))) AS pos FROM state WHERE done)
-SELECT word, string_agg(tok::VARCHAR, ',' ORDER BY pos) AS ids, unhex(string_agg(t.hex, '' ORDER BY pos)) AS decoded
-FROM fixed JOIN tokens t ON t.id = fixed.tok GROUP BY word"""
+fixed AS (SELECT word, array_to_string(toks, ',') AS ids, unnest(toks) AS tok, unnest(range(len(toks))) AS pos FROM state WHERE done)
+SELECT word, first(ids) AS ids, unhex(string_agg(t.hex, '' ORDER BY pos)) AS decoded FROM fixed JOIN tokens t ON t.id = fixed.tok GROUP BY word"""
 
 #: The pairs of the lowest rank, of neighbours that overlap every other from the left; only the first where a new
 #: pair could be of a lower rank still.
@@ -110,13 +109,25 @@ class Words:
             size = np.array([len(r) for r in own])
             tok = self.bytes_to_id[np.frombuffer(b"".join(own), np.uint8)]
             pos = np.arange(len(tok)) - np.repeat(np.cumsum(size) - size, size)
-            start_rows = pa.table({"word": np.repeat(np.arange(len(own)), size), "pos": pos, "tok": tok})  # noqa: F841
+            number = np.arange(len(own))
+            start_rows = pa.table({"word": np.repeat(number, size), "pos": pos, "tok": tok})  # noqa: F841
+            start_lists = pa.table({"word": number, "toks": pa.ListArray.from_arrays(np.r_[0, np.cumsum(size)].astype(np.int32), tok)})  # noqa: F841
             got = self.db.sql(rounds).to_arrow_table()
             for k, ids, dec in zip(got["word"].to_pylist(), got["ids"].to_pylist(), got["decoded"].to_pylist()):
                 w = new[which[k]]
                 self.ids[w], self.decoded[w] = ids, dec
 
 
+_OPEN: dict[str, Words] = {}
+
+
+def words_of(ranks_path: str) -> Words:
+    """The worker's own Words: what its earlier tasks have learnt stays known."""
+    if ranks_path not in _OPEN:
+        _OPEN[ranks_path] = Words(read_ranks(ranks_path))
+    return _OPEN[ranks_path]
+
+
 def encoded(texts: list[str], words: Words, pattern) -> list[tuple[int, str, str]]:
     """n_tokens, SHA-256 of the ids joined by commas, SHA-256 of the decoded bytes, for each text."""
     state = [[0, hashlib.sha256(), hashlib.sha256()] for _ in texts]
@@ -160,7 +171,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str
     def run(batches):
         import regex
 
-        words, splitter = Words(read_ranks(ranks_path)), regex.compile(pattern)
+        words, splitter = words_of(ranks_path), regex.compile(pattern)
         for b in batches:
             rows = encoded([t or "" for t in b.column(b.num_columns - 1).to_pylist()], words, splitter)
             cols = [pa.array([r[k] for r in rows], pa.int64() if k == 0 else pa.string()) for k in range(3)]
