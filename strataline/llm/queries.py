@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, packing, pii, simhash, topk, vectorjoin
+from . import bytebpe, packing, pii, simhash, suffixdedup, topk, toxicity, vectorjoin
 from .common import table
 
 
@@ -18,6 +18,14 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.repeats_digest(table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -46,6 +54,8 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffixdedup": op1_suffixdedup,
+    "op2_toxicity": op2_toxicity,
     "op3_bytebpe": op3_bytebpe,
     "op4_vectors": op4_vectors,
     "op5_packing": op5_packing,
