@@ -2,10 +2,29 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strataline.llm import pii
-from strataline.llm.common import cut, table
+from strataline.llm import packing, pii, simhash, suffixdedup, toxicity
+from strataline.llm.common import cut, fresh, table
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects (a score of a half or more) go."""
+    (score,) = fresh(docs, "toxicity")
+    model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.with_toxicity(docs, model, "text", score).where(F.col(score) < 0.5).select(*docs.columns)
+
+
+def one_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document of the smallest id stays."""
+    return simhash.one_of_each(docs)
+
+
+def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that stand earlier too are cut out of the texts."""
+    return suffixdedup.without_repeats(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,9 +32,14 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pii.mask_pii(docs)
 
 
-STAGES = [("pii", private)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document's ids stand in the training sequences."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", clean), ("simhash", one_each), ("suffixdedup", unrepeated), ("pii", private), ("packing", packed)]
 
-#: The stages hold a trained classifier and a search over all pairs, which SQL can't state.
+#: The stages hold a trained classifier and searches over all texts, which SQL can't state; tests use brute force.
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, packing, pii, simhash, suffixdedup, topk, toxicity, vectorjoin
+from . import bytebpe, chat, packing, pii, quality, simhash, suffixdedup, topk, toxicity, vectorjoin
 from .common import table
 
 
@@ -41,6 +41,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_digest(table(spark, sf_dir, "conversations"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
@@ -59,6 +67,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bytebpe": op3_bytebpe,
     "op4_vectors": op4_vectors,
     "op5_packing": op5_packing,
+    "op6_chat": op6_chat,
+    "op7_quality": op7_quality,
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
     "op10_topk": op10_topk,
