@@ -25,9 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import written
 
-GRAM, REACH = 8, 48
+GRAM, REACH = 8, 64
 #: Positions whose triggers are sought in one array.
 BLOCK = 1 << 16
 NO_ID = -(1 << 63)
@@ -50,8 +50,15 @@ def phrases(raw: bytes, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     grams = (grams >> np.uint64(32)).astype(np.uint32)
     trigger = np.empty(n, np.int64)
     for a in range(0, n, BLOCK):
-        rows = np.lib.stride_tricks.sliding_window_view(grams[a : min(n, a + BLOCK) + reach - 1], reach)
-        trigger[a : a + len(rows)] = rows.argmin(axis=1) + np.arange(a, a + len(rows))
+        # hash and place in one number; minima of windows from running minima of rows of reach numbers, forth and back
+        part = grams[a : min(n, a + BLOCK) + reach - 1]
+        many = len(part) - reach + 1
+        both = np.full(-(-len(part) // reach) * reach, -1, np.int64).view(np.uint64)
+        both[: len(part)] = part.astype(np.uint64) << np.uint64(32) | np.arange(len(part), dtype=np.uint64)
+        rows = both.reshape(-1, reach)
+        forth, back = np.minimum.accumulate(rows, axis=1).ravel(), np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+        least_of = np.minimum(back[:many], forth[reach - 1 : reach - 1 + many])
+        trigger[a : a + many] = (least_of & np.uint64(0xFFFFFFFF)).astype(np.int64) + a
     first = np.flatnonzero(np.r_[True, trigger[1:] != trigger[:-1]])
     return first, np.r_[first[1:], n] - 1, trigger[first]
 
@@ -129,13 +136,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_key(id_col, text, repeated), text.cast("binary").alias("raw"))
     texts = named.select("d", "tie", "raw")
     texts = texts.dropDuplicates(["d", "tie"]) if repeated else texts
-    parse = cut(_parse(texts, least))
+    parse = written(_parse(texts, least))
     # phrases that agree from the trigger on, by that key: how many, and whether they are all alike
     shared = parse.groupBy("key").agg(F.count("*").alias("many"), (F.min("e") != F.max("e")).alias("contested")).where("many > 1").select("key", "contested")
-    met = cut(parse.join(shared, "key"))
+    met = written(parse.join(shared, "key"))
     again = _later(met, ["key", "e"])
     firsts = met.where("contested").groupBy("key", "e").agg(F.min(F.struct(*_PLACE, "n")).alias("p")).select("p.*")
-    strings = cut(_strings(texts, firsts, least))
+    strings = written(_strings(texts, firsts, least))
     moved = _later(strings, ["h1", "h2"]).select("d", "tie", "x", F.lit(1).alias("n"))
     runs = again.select("d", "tie", "x", "n").unionAll(moved)
 
