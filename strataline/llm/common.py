@@ -32,7 +32,15 @@ def written(df: DataFrame) -> DataFrame:
     path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared}/written-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path.toString())
     path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(path.toString())
+    out = spark.read.schema(df.schema).parquet(path.toString())
+    out.written_at = path
+    return out
+
+
+def discard(table_written: DataFrame) -> None:
+    """Deletes a table of written once all that was computed from it has been written too."""
+    path, sc = table_written.written_at, table_written.sparkSession.sparkContext
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(df: DataFrame, *stems: str) -> list[str]:

@@ -6,7 +6,8 @@ stand. A phrase is the run of strings that share one trigger, with all their byt
 bytes. The dictionary holds every distinct phrase with its first place in the corpus, the parse says which phrase stands
 where. Every other place of a phrase repeats its first one byte for byte. Two distinct phrases can share strings only
 if they agree from the trigger on (the bytes that all of the phrase's strings hold); only such phrases of the
-dictionary have their suffixes laid out and brought into the order (string, document, start), in which the first of
+dictionary have their suffixes compared, first in pieces of SPLIT neighbours by the bytes these share, and the
+strings of the pieces that meet brought into the order (string, document, start), in which the first of
 equal neighbours is the original.
 
 The order is needed only up to equality of ``least`` bytes, so that strings are ordered by 128-bit hashes and Spark's
@@ -25,9 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import discard, written
 
-GRAM, REACH = 8, 64
+GRAM, REACH, SPLIT = 8, 64, 16
 #: Positions whose triggers are sought in one array.
 BLOCK = 1 << 16
 NO_ID = -(1 << 63)
@@ -74,7 +75,7 @@ def _key(id_col: str, text: Column, repeated: bool) -> list[Column]:
 
 
 def _parse(texts: DataFrame, least: int) -> DataFrame:
-    """The parse: key (hash of the bytes all strings of the phrase hold), e (hash of the phrase), its place d, tie, x, and n strings."""
+    """The parse: key (hash of the bytes all strings of the phrase hold), e (hash of the phrase), its place d, tie, x, n strings, and the trigger t from x on."""
     core = least - min(REACH, least - GRAM + 1) + 1
 
     def run(batches):
@@ -88,32 +89,52 @@ def _parse(texts: DataFrame, least: int) -> DataFrame:
                     e = _signed([digest(raw[i : j + least], 2) for i, j in zip(f, z)])
                     n = len(f)
                     yield pa.RecordBatch.from_arrays(
-                        [key, e, pa.array([d] * n, pa.int64()), pa.array([tie] * n, pa.int64()), pa.array(f, pa.int32()), pa.array([j - i + 1 for i, j in zip(f, z)], pa.int32())],
-                        names=["key", "e", "d", "tie", "x", "n"],
+                        [key, e, pa.array([d] * n, pa.int64()), pa.array([tie] * n, pa.int64()), pa.array(f, pa.int32()), pa.array([j - i + 1 for i, j in zip(f, z)], pa.int16()), pa.array([k - i for i, k in zip(f, t)], pa.int16())],
+                        names=["key", "e", "d", "tie", "x", "n", "t"],
                     )
 
-    return texts.mapInArrow(run, "key long, e long, d long, tie long, x int, n int")
+    return texts.mapInArrow(run, "key long, e long, d long, tie long, x int, n short, t short")
 
 
-def _strings(texts: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
-    """h1, h2 (128 bits of hash) and place of every string of the wanted phrases."""
-    per_text = wanted.groupBy("d", "tie").agg(F.collect_list(F.struct("x", "n")).alias("own"))
+def _pieces(texts: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
+    """Phrases in pieces of at most SPLIT strings by their distance from the trigger: core (hash of the bytes that all
+    strings of such a piece hold), place, and the piece's bytes. Equal strings lie in pieces of equal core."""
+    per_text = wanted.groupBy("d", "tie").agg(F.collect_list(F.struct("x", "n", "t")).alias("own"))
 
     def run(batches):
-        digest = xxhash.xxh3_128_intdigest
-        low = (1 << 64) - 1
+        digest = xxhash.xxh3_64_intdigest
         for b in batches:
             for d, tie, raw, own in zip(*(b[c].to_pylist() for c in ("d", "tie", "raw", "own"))):
-                starts = [x for p in own for x in range(p["x"], p["x"] + p["n"])]
-                for a in range(0, len(starts), BLOCK):
-                    s = starts[a : a + BLOCK]
-                    h = [digest(raw[x : x + least]) for x in s]
-                    yield pa.RecordBatch.from_arrays(
-                        [_signed([v >> 64 for v in h]), _signed([v & low for v in h]), pa.array([d] * len(s), pa.int64()), pa.array([tie] * len(s), pa.int64()), pa.array(s, pa.int32())],
-                        names=["h1", "h2", *_PLACE],
-                    )
+                core, place, held = [], [], []
+                for p in own:
+                    x, z, t = p["x"], p["x"] + p["n"], p["x"] + p["t"]
+                    for k in range((t - z + 1) // SPLIT, (t - x) // SPLIT + 1):  # starts from t - k SPLIT - SPLIT + 1 to t - k SPLIT
+                        a, e = max(x, t - (k + 1) * SPLIT + 1), min(z, t - k * SPLIT + 1)
+                        core.append(digest(raw[t - k * SPLIT : t - (k + 1) * SPLIT + 1 + least], k))
+                        place.append(a)
+                        held.append(raw[a : e + least - 1])
+                n = len(core)
+                yield pa.RecordBatch.from_arrays([_signed(core), pa.array([d] * n, pa.int64()), pa.array([tie] * n, pa.int64()), pa.array(place, pa.int32()), pa.array(held, pa.binary())], names=["core", *_PLACE, "held"])
+
+    return texts.join(per_text, ["d", "tie"]).select("d", "tie", "raw", "own").mapInArrow(run, "core long, d long, tie long, x int, held binary")
+
+
+def _strings(pieces: DataFrame, least: int) -> DataFrame:
+    """h1, h2 (128 bits of hash) and place of every string of the pieces."""
+
+    def run(batches):
+        digest, low = xxhash.xxh3_128_intdigest, (1 << 64) - 1
+        for b in batches:
+            h, rows, starts = [], [], []
+            for i, (x, raw) in enumerate(zip(b["x"].to_pylist(), b["held"].to_pylist())):
+                n = len(raw) - least + 1
+                h += [digest(raw[k : k + least]) for k in range(n)]
+                rows += [i] * n
+                starts += range(x, x + n)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([_signed([v >> 64 for v in h]), _signed([v & low for v in h]), b["d"].take(at), b["tie"].take(at), pa.array(starts, pa.int32())], names=["h1", "h2", *_PLACE])
 
-    return texts.join(per_text, ["d", "tie"]).select("d", "tie", "raw", "own").mapInArrow(run, "h1 long, h2 long, d long, tie long, x int")
+    return pieces.select("d", "tie", "x", "held").mapInArrow(run, "h1 long, h2 long, d long, tie long, x int")
 
 
 def _later(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -140,11 +161,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # phrases that agree from the trigger on, by that key: how many, and whether they are all alike
     shared = parse.groupBy("key").agg(F.count("*").alias("many"), (F.min("e") != F.max("e")).alias("contested")).where("many > 1").select("key", "contested")
     met = written(parse.join(shared, "key"))
-    again = _later(met, ["key", "e"])
-    firsts = met.where("contested").groupBy("key", "e").agg(F.min(F.struct(*_PLACE, "n")).alias("p")).select("p.*")
-    strings = written(_strings(texts, firsts, least))
-    moved = _later(strings, ["h1", "h2"]).select("d", "tie", "x", F.lit(1).alias("n"))
-    runs = again.select("d", "tie", "x", "n").unionAll(moved)
+    discard(parse)
+    again = written(_later(met, ["key", "e"]).select("d", "tie", "x", "n"))
+    firsts = met.where("contested").groupBy("key", "e").agg(F.min(F.struct(*_PLACE, "n", "t")).alias("p")).select("p.*")
+    pieces = written(_pieces(texts, firsts, least))
+    discard(met)
+    alike = pieces.groupBy("core").agg(F.count("*").alias("many")).where("many > 1").select("core")
+    strings = written(_strings(pieces.join(alike, "core"), least))
+    discard(pieces)
+    moved = _later(strings, ["h1", "h2"]).select("d", "tie", "x", F.lit(1).cast("short").alias("n"))
+    moved = written(moved)
+    discard(strings)
+    runs = again.unionAll(moved)
 
     def merged(group: pa.Table) -> pa.Table:
         s = np.sort(group["x"].to_numpy() * (1 << 20) + group["n"].to_numpy())
