@@ -23,8 +23,8 @@ from pyspark.sql.window import Window
 from .common import cut
 
 UNIT = 16
-#: Words whose ids a task remembers.
-REMEMBERED = 400_000
+#: Words, and runs within words, whose ids a generation of a Python worker remembers.
+REMEMBERED = 250_000
 #: White space to Python's split, but not to tokenizers.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -132,33 +132,80 @@ def placements(kinds: np.ndarray, demand: np.ndarray, length: int) -> dict[str,
     return dict(zip(("kind", "rank", "each", "sequence", "at"), np.array(rows, np.int64).reshape(-1, 5).T))
 
 
+class Recent:
+    """A dictionary that keeps what was used lately: a full generation becomes the old one, whose entries return when used."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Those of keys that aren't known; all others are in the present generation afterwards."""
+        need = [k for k in keys if k not in self.new]
+        if len(self.new) + len(need) > self.most:
+            self.old, self.new = self.new, {}
+            need = keys
+        out = []
+        for k in need:
+            if (x := self.old.get(k)) is None:
+                out.append(k)
+            else:
+                self.new[k] = x
+        return out
+
+
+#: Words of printable ASCII without an apostrophe: the tokenizer lower-cases them and reads runs of letters, single
+#: digits and runs of other signs apart, so that these pieces can be looked up by themselves.
+_PLAIN, _RUNS = re.compile(r"[!-&(-~]+"), re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
+
+
 class Ids:
     """Little-endian unsigned 32-bit ids of texts, white space apart, by word: the tokenizer's words never cross it."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = self.bare.encode_special_tokens = True
+        self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.Split(" ", "removed")
+        self.words, self.runs = Recent(REMEMBERED), Recent(REMEMBERED)
+
+    @staticmethod
+    def _each(tokenizer, words: list[str]):
+        """The ids of each word, many words in one call."""
+        for a in range(0, len(words), 512):
+            part = words[a : a + 512]
+            got = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            raw = np.array(got.ids, "<u4").tobytes()
+            ends = (np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(part) + 1)) * 4).tolist()
+            yield from (raw[i:j] for i, j in zip(ends, ends[1:]))
 
     def encode(self, text: str) -> bytes:
         words = text.split() if not any(c in text for c in SEPARATORS) else re.split(r"[^\S\x1c-\x1f]+", text)
-        new = list({w for w in words if w not in self.known})
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = list(set(words))
-        for a in range(0, len(new), 4096):
-            for w, e in zip(new[a : a + 4096], self.tokenizer.encode_batch(new[a : a + 4096], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+        if missing := self.words.missing(set(words)):
+            plain = [(w, _RUNS.findall(w.lower())) for w in missing if _PLAIN.fullmatch(w)]
+            other = [w for w in missing if not _PLAIN.fullmatch(w)]
+            runs = self.runs.missing({r for _, own in plain for r in own})
+            self.runs.new.update(zip(runs, self._each(self.bare, runs)))
+            self.words.new.update((w, b"".join(map(self.runs.new.__getitem__, own))) for w, own in plain)
+            self.words.new.update(zip(other, self._each(self.tokenizer, other)))
+        return b"".join(map(self.words.new.__getitem__, words))
+
+
+_OPEN: dict[str, Ids] = {}
+
+
+def ids_of(path: str) -> Ids:
+    """The worker's own Ids: what its earlier tasks have met stays known."""
+    if path not in _OPEN:
+        _OPEN[path] = Ids(path)
+    return _OPEN[path]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, length: int, end_id: int) -> DataFrame:
     """One row per piece of each document (doc_id, text): whole sequences, a body of units, a tail."""
 
     def run(batches):
-        ids = Ids(tokenizer_path)
+        ids = ids_of(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             out = []
