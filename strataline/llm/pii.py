@@ -25,9 +25,12 @@ PATTERNS = {
     # shorter runs can't hold the 12 digits that the validator asks for
     "card": r"[0-9](?:[\x20-]?[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    # only the start: capitals or digits of the next words look like the account's own, so that its end is sought apart
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})",
     "localphone": r"(?<![0-9+.-])\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}(?![0-9])",
 }
+#: All that can belong to an account number: 34 signs, a space before each from the fifth on.
+ACCOUNT, ACCOUNT_LEAST, ACCOUNT_MOST = r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+", 15, 34
 #: What a text must contain for the pattern to be tried at all.
 HINTS = {"email": "@", "phone": "+", "localphone": "("}
 PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "localphone": 0.4}
@@ -81,6 +84,31 @@ def mod97(account: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), step) == 1
 
 
+def _accounts(text: Column, starts: Column) -> Column:
+    """Spans of account numbers: from each start the longest run of 15 to 34 signs that ends a word and has right check digits.
+
+    Of spans that overlap the first stays.
+    """
+
+    def longest(s: Column) -> Column:
+        ahead = F.substr(text, (s["start"] + 1).cast("int"), F.lit(2 * ACCOUNT_MOST - 4 + 1))
+        run = F.regexp_extract(ahead, ACCOUNT, 0)
+
+        def fits(e: Column) -> Column:
+            packed = F.regexp_replace(F.substr(run, F.lit(1), e), " ", "")
+            ends_word = (F.substr(run, e, F.lit(1)) != " ") & ~F.substr(ahead, e + 1, F.lit(1)).rlike("[A-Za-z0-9]")
+            return F.when(ends_word & F.length(packed).between(ACCOUNT_LEAST, ACCOUNT_MOST), mod97(packed)).otherwise(False)
+
+        end = F.get(F.filter(F.sequence(F.length(run), F.lit(ACCOUNT_LEAST), F.lit(-1)), fits), F.lit(0))
+        return F.struct(s["start"].alias("start"), (s["start"] + end).alias("end"), F.substr(run, F.lit(1), end).alias("found"))
+
+    def step(acc: Column, s: Column) -> Column:
+        apart = s["end"].isNotNull() & (s["start"] >= F.coalesce(F.get(acc, F.size(acc) - 1)["end"], F.lit(0)))
+        return F.when(apart, F.concat(acc, F.array(s)).cast(_FOUND)).otherwise(acc)
+
+    return F.aggregate(F.transform(starts, longest).cast(_FOUND), F.array().cast(_FOUND), step)
+
+
 def _valid(kind: str, found: Column) -> Column:
     digits = F.regexp_replace(found, "[^0-9]", "")
     n = F.length(digits)
@@ -92,9 +120,6 @@ def _valid(kind: str, found: Column) -> Column:
         return F.when(n.between(12, 19), luhn(digits)).otherwise(False)
     if kind == "phone":
         return n.between(9, 15)
-    if kind == "iban":
-        packed = F.regexp_replace(found, " ", "")
-        return F.when(F.length(packed).between(15, 34), mod97(packed)).otherwise(False)
     return F.lit(True)
 
 
@@ -129,7 +154,9 @@ def find_pii(docs: DataFrame, text_col: str = "text", out_col: str = "pii") -> D
     df = df.withColumns({c: (F.when(F.contains(F.col(whole), F.lit(HINTS[k])), x).otherwise(F.array().cast("array<string>")) if k in HINTS else x) for k, c in zip(kinds, found) for x in [F.regexp_extract_all(F.col(whole), F.lit(PATTERNS[k]), F.lit(0))]})
     per_kind = []
     for k, c in zip(kinds, found):
-        spans = F.transform(F.filter(_located(F.col(whole), F.col(c), PATTERNS[k]), _confirmed(k)), _scored(k, F.col(whole)))
+        located = _located(F.col(whole), F.col(c), PATTERNS[k])
+        confirmed = _accounts(F.col(whole), located) if k == "iban" else F.filter(located, _confirmed(k))
+        spans = F.transform(confirmed, _scored(k, F.col(whole)))
         kind_type = "array<struct<start:bigint,rank:int,end:bigint,kind:string,base:boolean,score:double,found:string>>"
         per_kind.append(F.when(F.size(F.col(c)) > 0, spans.cast(kind_type)).otherwise(F.array().cast(kind_type)))
     every = F.filter(F.array_sort(F.concat(*per_kind)), lambda s: s["base"] | (s["score"] >= LEAST))
