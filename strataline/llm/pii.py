@@ -114,7 +114,7 @@ def _valid(kind: str, found: Column) -> Column:
     n = F.length(digits)
     if kind == "ip":
         # leading zeros say nothing about the part's value
-        parts = F.split(F.regexp_replace(found, r"(?<![0-9])0++(?=[0-9])", ""), r"\.")
+        parts = F.split(F.regexp_replace(found, r"(?<![0-9])0+(?=[0-9])", ""), r"\.")
         return ~F.exists(parts, lambda p: (F.length(p) > 3) | (F.right(p, F.lit(3)).cast("int") > 255))
     if kind == "card":
         return F.when(n.between(12, 19), luhn(digits)).otherwise(False)
