@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
+from .common import cut, fresh, written
 from .components import Forest, components
 
 #: A value under which more distinct fingerprints meet is split further.
@@ -215,9 +215,18 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2) -> DataFrame:
-    """The rows of docs whose id names their component; of rows that repeat an id all stay."""
-    kept = near_documents(docs, id_col, text_col, distance).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("kept_id")).distinct()
-    return docs.join(kept, docs[id_col] == kept["kept_id"], "left_semi")
+    """docs with one row of each group of near copies: that of the smallest id, nulls last, then by a hash of the text.
+
+    Rows that repeat an id, or that have none, are rows like any other: of each group exactly one stays. Texts without
+    words (null too) are copies of each other.
+    """
+    row, fp = fresh(docs, "row_number", "fingerprint_of")
+    marked = written(with_fingerprint(docs, text_col, fp).withColumn(row, F.monotonically_increasing_id()))
+    place = F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(F.col(text_col)), F.col(row).alias("row"))
+    least = cut(marked.groupBy(F.col(fp).alias("fp")).agg(F.min(place).alias("first")))
+    tied = components(fingerprint_links(least.select("fp"), distance))
+    groups = least.join(tied, least.fp == tied.node, "left").groupBy(F.coalesce("component", "fp")).agg(F.min("first").alias("first"))
+    return marked.join(groups.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:
