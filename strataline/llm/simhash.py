@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import nearcopies
 from .common import cut, fresh, written
 from .components import Forest, components
 
@@ -214,18 +215,20 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return marked.join(by_fp, "fp").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of near copies: that of the smallest id, nulls last, then by a hash of the text.
 
-    Rows that repeat an id, or that have none, are rows like any other: of each group exactly one stays. Texts without
-    words (null too) are copies of each other.
+    A group is a component of texts linked by a Jaccard similarity of 0.8 or more of their five-word shingles, found
+    exactly (see nearcopies). Rows that repeat an id, or that have none, are rows like any other: of each group exactly
+    one stays. Texts without words (null too) are copies of each other.
     """
-    row, fp = fresh(docs, "row_number", "fingerprint_of")
-    marked = written(with_fingerprint(docs, text_col, fp).withColumn(row, F.monotonically_increasing_id()))
+    row, sid = fresh(docs, "row_number", "set_name")
+    marked = written(nearcopies.with_set(docs, text_col, sid).withColumn(row, F.monotonically_increasing_id()))
     place = F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(F.col(text_col)), F.col(row).alias("row"))
-    least = cut(marked.groupBy(F.col(fp).alias("fp")).agg(F.min(place).alias("first")))
-    tied = components(fingerprint_links(least.select("fp"), distance))
-    groups = least.join(tied, least.fp == tied.node, "left").groupBy(F.coalesce("component", "fp")).agg(F.min("first").alias("first"))
+    least = cut(marked.groupBy(F.col(sid).alias("sid")).agg(F.min(place).alias("first")))
+    texts = marked.join(least.select(F.col("first.row").alias(row)), row).select(F.col(sid).alias("sid"), F.col(text_col).alias("text"))
+    tied = nearcopies.similar_components(texts)
+    groups = least.join(tied, least.sid == tied.node, "left").groupBy(F.coalesce("component", "sid")).agg(F.min("first").alias("first"))
     return marked.join(groups.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)
 
 
