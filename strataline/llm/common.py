@@ -43,6 +43,12 @@ def discard(table_written: DataFrame) -> None:
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def others(df: DataFrame, *names: str) -> list[str]:
+    """df's columns but those of these names (Spark compares names without case)."""
+    taken = {n.lower() for n in names}
+    return [f"`{c}`" for c in df.columns if c.lower() not in taken]
+
+
 def fresh(df: DataFrame, *stems: str) -> list[str]:
     """A column name for each stem that df doesn't use (Spark compares names without case)."""
     used = {c.lower() for c in df.columns}

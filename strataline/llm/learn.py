@@ -12,20 +12,30 @@ def fold(id_col: str, of: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int, chars: int, id_col: str = "doc_id") -> list[tuple[str, int]]:
-    """At most rows texts of at most chars characters with their label (0 or 1), half of each label where there are enough.
+    """At most rows texts with their label (0 or 1), half of each label where there are enough, of at most chars characters in all.
 
-    Which ones is decided by a hash of the id alone, so that the sample is the same wherever the rows lie. Rows
-    without a text or a label are left out; of repeated ids one row counts.
+    Which ones is decided by a hash of the id alone, so that the sample is the same wherever the rows lie and texts of
+    every length are in it; in that order texts are taken while they fit into chars. Rows without a text or a label are
+    left out; of repeated ids one row counts.
     """
     marked = labels.where(usable & F.col(label).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(label).cast("int").alias("y")).dropDuplicates(["i"])
     chosen = None
     for y in (0, 1):
         part = marked.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(rows // 2)
         chosen = part if chosen is None else chosen.unionAll(part)
-    texts = docs.where(F.length("text") <= chars).select(F.col(id_col).alias("i"), "text")
-    # at most rows labels: small whatever the tables' size
-    got = texts.join(F.broadcast(chosen), "i").dropDuplicates(["i"]).select("i", "text", "y").collect()
-    return [(r.text, r.y) for r in sorted(got, key=lambda r: (hash_order(r.i), r.i))]
+    texts = docs.where(F.col("text").isNotNull()).select(F.col(id_col).alias("i"), "text")
+    # at most rows labels: small whatever the tables' size; their lengths first, so that what comes here is bounded too
+    sizes = texts.join(F.broadcast(chosen), "i").groupBy("i").agg(F.max(F.length("text")).alias("n"), F.max("y").alias("y")).collect()
+    left, fit = chars, []
+    for r in sorted(sizes, key=lambda r: (hash_order(r.i), r.i)):
+        if r.n <= left:
+            left -= r.n
+            fit.append((r.i, r.y))
+    if not fit:
+        return []
+    fit = docs.sparkSession.createDataFrame(fit, marked.schema)
+    got = texts.join(F.broadcast(fit), "i").groupBy("i").agg(F.max(F.struct(F.length("text").alias("n"), "text")).alias("t"), F.max("y").alias("y")).collect()
+    return [(r.t.text, r.y) for r in sorted(got, key=lambda r: (hash_order(r.i), r.i))]
 
 
 def hash_order(i) -> int:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh
+from .common import fresh, others
 from .learn import fold, labelled_sample
 
 WIDTH, FILTERS = 5, 24
@@ -21,8 +21,8 @@ WIDTH, FILTERS = 5, 24
 CHUNK = 256
 #: Chunks that are looked at together.
 AT_ONCE = 64
-#: Labelled documents that training takes at most, and their length.
-TRAIN_ROWS, TRAIN_CHARS, EPOCHS = 1600, 6000, 14
+#: Labelled documents that training takes at most, and their characters in all.
+TRAIN_ROWS, TRAIN_CHARS, EPOCHS = 1600, 8_000_000, 14
 
 
 class Net:
@@ -118,7 +118,7 @@ def train(sample: list[tuple[str, int]], epochs: int = EPOCHS, batch: int = 16,
 
 def with_quality(docs: DataFrame, net: Net, text_col: str = "text", out_col: str = "quality") -> DataFrame:
     """docs with out_col, a probability from every byte of the text. Null and empty texts score as one chunk of zero bytes."""
-    kept = [c for c in docs.columns if c != out_col]
+    kept = others(docs, out_col)
     (raw,) = fresh(docs, "text_bytes")
     shared = docs.sparkSession.sparkContext.broadcast(net)  # about 120 kB whatever the data
 
