@@ -36,7 +36,7 @@ PIECE, OVERLAP = 20, 10
 #: Landmarks of toxic documents and of clean ones; no two of the former have a kernel above UNLIKE.
 TELLING, COMMON, UNLIKE = 160, 32, 0.6
 #: Labelled documents that training takes at most, and their characters in all.
-TRAIN_ROWS, TRAIN_CHARS = 5000, 16_000_000
+TRAIN_ROWS, TRAIN_CHARS = 4500, 14_000_000
 #: Words whose weight a worker remembers, and characters of texts that are looked at together.
 REMEMBERED, AT_ONCE = 500_000, 4_000_000
 
@@ -269,18 +269,20 @@ def train(sample: list[tuple[str, int]]) -> Model:
     gram = kernel.of(kernel.landmarks).astype(float)
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
     nystroem = vector / np.sqrt(np.maximum(value, 1e-4))
-    words = sorted({w for ss, _ in docs for s in ss for w in s})
-    at = {w: i for i, w in enumerate(words)}
-    of_word = kernel.of(words)
-    sums = [np.array([of_word[[at[w] for w in s]].sum(axis=0) for s in ss]).reshape(-1, len(kernel.landmarks)) for ss, _ in docs]
     label = np.array([y for _, y in docs], float)
-    # documents as bags: each landmark's closest sentence
-    bags = np.c_[np.array([s.max(axis=0) for s in sums]).reshape(len(docs), -1), np.ones(len(docs))]
+    # documents as bags: each landmark's closest sentence; kernels of words are kept for a few documents at a time
+    bags, feats = np.ones((len(docs), len(kernel.landmarks) + 1)), []
+    for a in range(0, len(docs), 800):
+        part = docs[a : a + 800]
+        words = sorted({w for ss, _ in part for s in ss for w in s})
+        at, of_word = {w: i for i, w in enumerate(words)}, kernel.of(words)
+        for i, (ss, y) in enumerate(part):
+            sums = np.array([of_word[[at[w] for w in s]].sum(axis=0) for s in ss])
+            bags[a + i, :-1] = sums.max(axis=0)
+            feats.append((np.c_[sums @ nystroem, np.ones(len(ss))].astype(np.float32), y))
     weight = np.where(label == 1, 0.5 / max(1, label.sum()), 0.5 / max(1, (1 - label).sum())) * len(docs)
     ridge = np.linalg.solve((bags * weight[:, None]).T @ bags + 10 * np.eye(bags.shape[1]), (bags * weight[:, None]).T @ (2 * label - 1))
     w = np.r_[np.linalg.lstsq(nystroem, ridge[:-1], rcond=None)[0], ridge[-1]]
-    feats = [(np.c_[s @ nystroem, np.ones(len(s))].astype(np.float32), y) for s, y in zip(sums, label)]
-    del of_word, sums
     rng = np.random.default_rng(5)
     for _ in range(4):
         rows, ys, told = [], [], []
