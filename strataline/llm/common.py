@@ -4,23 +4,32 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where executors and driver both can read and write: spark.checkpoint.dir; on one machine else a folder under the warehouse."""
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir")
+    if not shared and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return shared or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written once to the shared checkpoint folder, so that what follows reads it instead of computing it again.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a folder under
-    the warehouse is used.
+    The folder is that of shared_folder.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-        sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -28,8 +37,7 @@ def written(df: DataFrame) -> DataFrame:
     """As cut, but as a compressed Parquet table under the shared folder: for many rows of few columns. It goes when Spark ends."""
     spark = df.sparkSession
     sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared}/written-{uuid.uuid4().hex}")
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/written-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path.toString())
     path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
     out = spark.read.schema(df.schema).parquet(path.toString())
@@ -59,3 +67,22 @@ def fresh(df: DataFrame, *stems: str) -> list[str]:
         used.add(s.lower())
         out.append(s)
     return out
+
+
+def whole_id(df: DataFrame, id_col: str) -> Column:
+    """The id column as a long; ids of other types than whole numbers are an error, not rows that fail one by one."""
+    if not isinstance(df.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.NullType)):
+        raise TypeError(f"{id_col} must hold whole numbers of at most 64 bits, not {df.schema[id_col].dataType.simpleString()}")
+    return F.col(id_col).cast("long")
+
+
+def join_split(rows: DataFrame, keys: DataFrame, on: list[str], many: str, total: int, share: int = 1000) -> DataFrame:
+    """The equi-join of rows with keys (one row for each key, with how often it stands among rows in column many).
+
+    Keys that hold more than one in share of all rows are fewer than share, whatever the data: they are broadcast, so
+    that a hot key's rows stay where they are. All others meet in a shuffle.
+    """
+    hot = F.col(many) * share > total
+    heavy = F.broadcast(keys.where(hot))
+    few = F.broadcast(keys.where(hot).select(*on))
+    return rows.join(heavy, on).unionByName(rows.join(few, on, "left_anti").join(keys.where(~hot), on))

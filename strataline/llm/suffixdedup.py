@@ -3,16 +3,19 @@
 Triggers of a rolling hash over GRAM bytes cut each text into phrases: the trigger of a string of ``least`` bytes is the
 smallest hash among those that start in its first REACH bytes, so that equal strings have the same trigger wherever they
 stand. A phrase is the run of strings that share one trigger, with all their bytes; phrases overlap by ``least - 1``
-bytes. The dictionary holds every distinct phrase with its first place in the corpus, the parse says which phrase stands
-where. Every other place of a phrase repeats its first one byte for byte. Two distinct phrases can share strings only
-if they agree from the trigger on (the bytes that all of the phrase's strings hold); only such phrases of the
-dictionary have their suffixes compared, first in pieces of SPLIT neighbours by the bytes these share, and the
-strings of the pieces that meet brought into the order (string, document, start), in which the first of
-equal neighbours is the original.
-
-The order is needed only up to equality of ``least`` bytes, so that strings are ordered by 128-bit hashes and Spark's
-grouping takes the place of a global suffix array. Groupings are minima with partial sums, so that a passage that a
-third of all documents hold reaches a task as one row from each of the others.
+bytes, so that the first ``least`` bytes of any suffix lie in one phrase. The dictionary holds every distinct phrase with
+its first place in the corpus, the parse says which phrase stands where.
+
+The parse is brought into the order (phrase, place): as phrases hold whole strings, its suffixes are needed to a depth of
+one phrase only, and every place of a phrase but the first repeats the first. Of the dictionary, suffixes can begin with
+equal strings only in phrases that agree from the trigger on. Such phrases are taken in pieces of SPLIT neighbouring
+strings; pieces of equal bytes count once, and the suffixes of all distinct pieces that agree in what their strings share
+are sorted, cut after ``least`` bytes, by ranges of bytes over the cluster. That is the dictionary's suffix array where
+it can matter: equal strings are neighbours in it, compared byte by byte, and the first in place is the original.
+
+Phrases are told apart by two 64-bit hashes, of the phrase and of its bytes from the trigger on: two unlike phrases of
+equal bytes there are taken for one with a chance of 2^-64. Groupings are minima with partial sums and hot keys are joined
+where they lie, so that a passage that a third of all documents hold doesn't meet in one task.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, written
+from .common import discard, join_split, whole_id, written
 
 GRAM, REACH, SPLIT = 8, 64, 16
 #: Positions whose triggers are sought in one array.
@@ -68,10 +71,10 @@ def _signed(x: list[int]) -> pa.Array:
     return pa.array(np.array(x, np.uint64).view(np.int64))
 
 
-def _key(id_col: str, text: Column, repeated: bool) -> list[Column]:
+def _key(docs: DataFrame, id_col: str, text: Column, repeated: bool) -> list[Column]:
     """What names a text: its id, and a hash where ids repeat. A null id comes first."""
     tie = F.xxhash64(text) if repeated else F.lit(0).cast("long")
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), tie.alias("tie")]
+    return [F.coalesce(whole_id(docs, id_col), F.lit(NO_ID)).alias("d"), tie.alias("tie")]
 
 
 def _parse(texts: DataFrame, least: int) -> DataFrame:
@@ -98,14 +101,14 @@ def _parse(texts: DataFrame, least: int) -> DataFrame:
 
 def _pieces(texts: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     """Phrases in pieces of at most SPLIT strings by their distance from the trigger: core (hash of the bytes that all
-    strings of such a piece hold), place, and the piece's bytes. Equal strings lie in pieces of equal core."""
+    strings of such a piece hold), whole (hash of the piece), place, and the piece's bytes. Equal strings lie in pieces of equal core."""
     per_text = wanted.groupBy("d", "tie").agg(F.collect_list(F.struct("x", "n", "t")).alias("own"))
 
     def run(batches):
         digest = xxhash.xxh3_64_intdigest
         for b in batches:
             for d, tie, raw, own in zip(*(b[c].to_pylist() for c in ("d", "tie", "raw", "own"))):
-                core, place, held = [], [], []
+                core, whole, place, held = [], [], [], []
                 for p in own:
                     x, z, t = p["x"], p["x"] + p["n"], p["x"] + p["t"]
                     for k in range((t - z + 1) // SPLIT, (t - x) // SPLIT + 1):  # starts from t - k SPLIT - SPLIT + 1 to t - k SPLIT
@@ -113,34 +116,44 @@ def _pieces(texts: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
                         core.append(digest(raw[t - k * SPLIT : t - (k + 1) * SPLIT + 1 + least], k))
                         place.append(a)
                         held.append(raw[a : e + least - 1])
+                        whole.append(digest(held[-1], 5))
                 n = len(core)
-                yield pa.RecordBatch.from_arrays([_signed(core), pa.array([d] * n, pa.int64()), pa.array([tie] * n, pa.int64()), pa.array(place, pa.int32()), pa.array(held, pa.binary())], names=["core", *_PLACE, "held"])
+                yield pa.RecordBatch.from_arrays([_signed(core), _signed(whole), pa.array([d] * n, pa.int64()), pa.array([tie] * n, pa.int64()), pa.array(place, pa.int32()), pa.array(held, pa.binary())], names=["core", "whole", *_PLACE, "held"])
 
-    return texts.join(per_text, ["d", "tie"]).select("d", "tie", "raw", "own").mapInArrow(run, "core long, d long, tie long, x int, held binary")
+    return texts.join(per_text, ["d", "tie"]).select("d", "tie", "raw", "own").mapInArrow(run, "core long, whole long, d long, tie long, x int, held binary")
 
 
-def _strings(pieces: DataFrame, least: int) -> DataFrame:
-    """h1, h2 (128 bits of hash) and place of every string of the pieces."""
+def _suffixes(pieces: DataFrame, least: int) -> DataFrame:
+    """s (the first least bytes) and place of every suffix of the pieces."""
 
     def run(batches):
-        digest, low = xxhash.xxh3_128_intdigest, (1 << 64) - 1
         for b in batches:
-            h, rows, starts = [], [], []
-            for i, (x, raw) in enumerate(zip(b["x"].to_pylist(), b["held"].to_pylist())):
-                n = len(raw) - least + 1
-                h += [digest(raw[k : k + least]) for k in range(n)]
-                rows += [i] * n
-                starts += range(x, x + n)
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([_signed([v >> 64 for v in h]), _signed([v & low for v in h]), b["d"].take(at), b["tie"].take(at), pa.array(starts, pa.int32())], names=["h1", "h2", *_PLACE])
+            held, x = b["held"].to_pylist(), b["x"].to_numpy()
+            many = np.array([len(raw) - least + 1 for raw in held], np.int64)
+            of = np.repeat(np.arange(len(held)), many)
+            start = x[of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+            at = pa.array(of)
+            yield pa.RecordBatch.from_arrays([pa.array([raw[k : k + least] for raw, n in zip(held, many.tolist()) for k in range(n)], pa.binary()), b["d"].take(at), b["tie"].take(at), pa.array(start.astype(np.int32))], names=["s", *_PLACE])
 
-    return pieces.select("d", "tie", "x", "held").mapInArrow(run, "h1 long, h2 long, d long, tie long, x int")
+    return pieces.select("d", "tie", "x", "held").mapInArrow(run, "s binary, d long, tie long, x int")
 
 
-def _later(rows: DataFrame, by: list[str]) -> DataFrame:
+def _after_an_equal(batches):
+    """The places of rows sorted by s and place whose s the row before has too."""
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        own = b["s"].to_pylist()
+        again = [u == v for u, v in zip([last, *own], own)]
+        last = own[-1]
+        yield b.select(_PLACE).filter(pa.array(again))
+
+
+def _later(rows: DataFrame, by: list[str], total: int) -> DataFrame:
     """The rows that aren't the first in place of those equal in by."""
-    first = rows.groupBy(*by).agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("many")).where("many > 1").select(*by, "first")
-    return rows.join(first, by).where(F.struct(*_PLACE) != F.col("first"))
+    first = rows.groupBy(*by).agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("many")).where("many > 1")
+    return join_split(rows, first, by, "many", total).where(F.struct(*_PLACE) != F.col("first"))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -154,24 +167,30 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError(f"least must be {GRAM} or more")
     repeated = not docs.groupBy(id_col).count().where("count > 1").isEmpty()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_key(id_col, text, repeated), text.cast("binary").alias("raw"))
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_key(docs, id_col, text, repeated), text.cast("binary").alias("raw"))
     texts = named.select("d", "tie", "raw")
     texts = texts.dropDuplicates(["d", "tie"]) if repeated else texts
     parse = written(_parse(texts, least))
+    n = parse.count()
     # phrases that agree from the trigger on, by that key: how many, and whether they are all alike
-    shared = parse.groupBy("key").agg(F.count("*").alias("many"), (F.min("e") != F.max("e")).alias("contested")).where("many > 1").select("key", "contested")
-    met = written(parse.join(shared, "key"))
+    shared = parse.groupBy("key").agg(F.count("*").alias("many"), (F.min("e") != F.max("e")).alias("contested")).where("many > 1")
+    met = written(join_split(parse, shared, ["key"], "many", n).drop("many"))
     discard(parse)
-    again = written(_later(met, ["key", "e"]).select("d", "tie", "x", "n"))
+    again = written(_later(met, ["key", "e"], n).select("d", "tie", "x", "n"))
     firsts = met.where("contested").groupBy("key", "e").agg(F.min(F.struct(*_PLACE, "n", "t")).alias("p")).select("p.*")
     pieces = written(_pieces(texts, firsts, least))
     discard(met)
-    alike = pieces.groupBy("core").agg(F.count("*").alias("many")).where("many > 1").select("core")
-    strings = written(_strings(pieces.join(alike, "core"), least))
+    m = pieces.count()
+    # pieces that agree in what their strings share: equal ones count once, the suffixes of the others are sorted
+    alike = pieces.groupBy("core").agg(F.count("*").alias("many"), (F.min("whole") != F.max("whole")).alias("contested")).where("many > 1")
+    meet = join_split(pieces, alike, ["core"], "many", m).drop("many")
+    whole = _later(meet, ["core", "whole"], m).select("d", "tie", "x", (F.length("held") - (least - 1)).cast("short").alias("n"))
+    distinct = meet.where("contested").groupBy("core", "whole").agg(F.min(F.struct(*_PLACE, "held")).alias("p")).select("p.*")
+    distinct = written(distinct)
+    ordered = _suffixes(distinct, least).repartitionByRange("s").sortWithinPartitions("s", *_PLACE)
+    moved = written(whole.unionAll(ordered.mapInArrow(_after_an_equal, "d long, tie long, x int").select("d", "tie", "x", F.lit(1).cast("short").alias("n"))))
+    discard(distinct)
     discard(pieces)
-    moved = _later(strings, ["h1", "h2"]).select("d", "tie", "x", F.lit(1).cast("short").alias("n"))
-    moved = written(moved)
-    discard(strings)
     runs = again.unionAll(moved)
 
     def merged(group: pa.Table) -> pa.Table:
