@@ -6,18 +6,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import discard, written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component: for every node of a link that isn't the smallest of its component, that smallest node.
 
     Each round hangs the larger neighbours of a node, then the node itself, on its smallest neighbour, and is written
-    to the checkpoint folder; it ends when a round changes nothing. Every step is a grouping with partial minima and
+    to the shared folder, where it replaces the one before; it ends when a round changes nothing. Every step is a grouping with partial minima and
     an equi-join, so that a node with very many links is split like any other skewed key. Links from a node to itself
     and repeated links are dropped, links with a null end too; no links give no rows.
     """
-    star = cut(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct())
+    star = written(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct())
     seen = None
     while (now := star.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()) != seen:
         seen = now
@@ -26,7 +26,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         root = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(root, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionAll(root.select("hi", F.col("m").alias("lo")))
-        star = cut(small.distinct())
+        star, before = written(small.distinct()), star
+        discard(before)
     return star.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
 
 

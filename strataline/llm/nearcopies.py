@@ -5,7 +5,7 @@ filtering): of n shingles those at the first n - ceil(AT_LEAST n) + 1 places. Th
 Sets that meet under a shingle are candidates where their sizes and the shingle's places in them allow the similarity;
 the shingles of both then decide. Nothing is estimated, so no pair is missed.
 
-Candidates are tried in two rounds. The first links everything under a shingle to its smallest set, which takes one
+Candidates are tried in two rounds. The first takes pairs that SimHash fingerprints propose (see simhash) and links everything under a shingle to its smallest set, which takes one
 candidate for each row; the second tries only pairs that the first left in different components. So a large group of near
 copies costs as many rows as it has members. Pairs under a shingle that many unlike texts share are thinned by a bound:
 the bits in which two sets' sketches differ are at most the shingles in which the sets do. A wider sketch, of two bits and
@@ -148,6 +148,18 @@ def _apart(batches):
         yield from pairs(*held)
 
 
+def _thinned(pairs: DataFrame, sets: DataFrame, sketch: str) -> DataFrame:
+    """The pairs a, b whose sizes and sketches allow the similarity."""
+
+    def run(batches):
+        for b in batches:
+            keep = [may_be_similar(*r) for r in zip(*(b[c].to_pylist() for c in ("nx", "ny", "x", "y")))]
+            yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one, two = (sets.select(F.col("sid").alias(c), F.col("n").alias(n), F.col(sketch).alias(w)) for c, n, w in (("a", "nx", "x"), ("b", "ny", "y")))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "nx", "ny", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs a, b whose sets are similar enough."""
     up, down = AT_LEAST.numerator, AT_LEAST.denominator
@@ -161,13 +173,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(both * down >= up * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def thinned(batches):
-        for b in batches:
-            keep = [may_be_similar(*r) for r in zip(*(b[c].to_pylist() for c in ("nx", "ny", "x", "y")))]
-            yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    one, two = (sets.select(F.col("sid").alias(c), F.col("n").alias(n), F.col("wide").alias(w)) for c, n, w in (("a", "nx", "x"), ("b", "ny", "y")))
-    left = written(pairs.distinct().join(one, "a").join(two, "b").select("a", "b", "nx", "ny", "x", "y").mapInArrow(thinned, "a long, b long"))
+    # by the narrow sketch, then by the wide one of the pairs that are left
+    narrow = _thinned(pairs.distinct(), sets, "sketch")
+    left = written(_thinned(narrow, sets, "wide"))
     # only the sets that still are in a pair are fetched, once
     wanted = left.select(F.col("a").alias("sid")).unionAll(left.select(F.col("b").alias("sid"))).distinct()
     own = written(sets.select("sid", "own").join(wanted, "sid"))
@@ -178,10 +186,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return out
 
 
-def similar_components(texts: DataFrame) -> DataFrame:
+def similar_components(texts: DataFrame, proposed: DataFrame) -> DataFrame:
     """node, component over sid, text (each sid once): for each sid but the smallest of its component, that smallest.
 
-    Sets are linked if their Jaccard similarity is AT_LEAST or more. No rows: no rows.
+    Sets are linked if their Jaccard similarity is AT_LEAST or more. proposed holds candidates a < b (of sids) that were
+    found otherwise; they are confirmed in the first round and spare the second those that they tie. No rows: no rows.
     """
     sets = written(_sets(texts))
     prefixes = _prefixes(sets)
@@ -191,7 +200,7 @@ def similar_components(texts: DataFrame) -> DataFrame:
     smallest = met.groupBy("key").agg(F.min(F.struct("n", "sid")).alias("f"))
     long_enough = F.col("f.n") * AT_LEAST.denominator >= F.col("n") * AT_LEAST.numerator
     stars = met.join(smallest, "key").where((F.col("f.sid") != F.col("sid")) & long_enough).select(F.least("f.sid", "sid").alias("a"), F.greatest("f.sid", "sid").alias("b"))
-    first = _confirmed(stars, sets)
+    first = _confirmed(stars.unionAll(proposed), sets)
     tied = components(first)
     named = met.join(tied, met.sid == tied.node, "left").select("key", "n", "pos", "sid", F.coalesce("component", "sid").alias("comp"))
     split = named.groupBy("key").agg((F.min("comp") != F.max("comp")).alias("split")).where("split").select("key")

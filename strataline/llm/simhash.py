@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import nearcopies
-from .common import cut, fresh, written
+from .common import cut, fresh, others, whole_id, written
 from .components import Forest, components
 
 #: A value under which more distinct fingerprints meet is split further.
@@ -58,7 +58,7 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", out_col: str = "fi
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps, pa.int64())], names=[*b.schema.names[:-1], out_col])
 
     (raw,) = fresh(docs, "text_bytes")
-    kept = [c for c in docs.columns if c != out_col]
+    kept = others(docs, out_col)
     schema = docs.select(*kept).schema.add(out_col, "long")
     return docs.select(*kept, F.col(text_col).cast("binary").alias(raw)).mapInArrow(run, schema)
 
@@ -205,7 +205,7 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Texts without words (null too) have fingerprint 0, which links like any other. Repeated rows and ids share their
     fingerprint's component. No rows: no rows.
     """
-    marked = cut(with_fingerprint(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "text", "fp", words_each).select("id", "fp"))
+    marked = cut(with_fingerprint(docs.select(whole_id(docs, id_col).alias("id"), F.col(text_col).alias("text")), "text", "fp", words_each).select("id", "fp"))
     fps = cut(marked.groupBy("fp").agg(F.min("id").alias("rep")))
     links = components(fingerprint_links(fps.select("fp"), distance))
     # a component's name is its smallest document, not its smallest fingerprint
@@ -215,11 +215,21 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return marked.join(by_fp, "fp").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
 
 
+def proposed_pairs(texts: DataFrame, distance: int = 3) -> DataFrame:
+    """a < b over sid, text: links of sids whose fingerprints of five-word shingles differ in few bits, not all pairs of a group."""
+    marked = written(with_fingerprint(texts.select("sid", "text"), "text", "fp", nearcopies.WORDS_EACH).select("sid", "fp"))
+    fps = written(marked.groupBy("fp").agg(F.min("sid").alias("rep")))
+    same = marked.join(fps, "fp").where("sid <> rep").select(F.col("rep").alias("a"), F.col("sid").alias("b"))
+    near = fingerprint_links(fps.select("fp"), distance).distinct()
+    one, two = (fps.select(F.col("fp").alias(c), F.col("rep").alias(r)) for c, r in (("a", "x"), ("b", "y")))
+    return same.unionAll(near.join(one, "a").join(two, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of near copies: that of the smallest id, nulls last, then by a hash of the text.
 
-    A group is a component of texts linked by a Jaccard similarity of 0.8 or more of their five-word shingles, found
-    exactly (see nearcopies). Rows that repeat an id, or that have none, are rows like any other: of each group exactly
+    A group is a component of texts linked by a Jaccard similarity of 0.8 or more of their five-word shingles. Fingerprints
+    of these shingles propose most links; those further apart are found exactly too, and all are confirmed (see nearcopies). Rows that repeat an id, or that have none, are rows like any other: of each group exactly
     one stays. Texts without words (null too) are copies of each other.
     """
     row, sid = fresh(docs, "row_number", "set_name")
@@ -227,7 +237,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     place = F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(F.col(text_col)), F.col(row).alias("row"))
     least = cut(marked.groupBy(F.col(sid).alias("sid")).agg(F.min(place).alias("first")))
     texts = marked.join(least.select(F.col("first.row").alias(row)), row).select(F.col(sid).alias("sid"), F.col(text_col).alias("text"))
-    tied = nearcopies.similar_components(texts)
+    tied = nearcopies.similar_components(texts, proposed_pairs(texts))
     groups = least.join(tied, least.sid == tied.node, "left").groupBy(F.coalesce("component", "sid")).agg(F.min("first").alias("first"))
     return marked.join(groups.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)
 
