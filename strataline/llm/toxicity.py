@@ -36,7 +36,7 @@ PIECE, OVERLAP = 20, 10
 #: Landmarks of toxic documents and of clean ones; no two of the former have a kernel above UNLIKE.
 TELLING, COMMON, UNLIKE = 160, 32, 0.6
 #: Labelled documents that training takes at most, and their characters in all.
-TRAIN_ROWS, TRAIN_CHARS = 4500, 14_000_000
+TRAIN_ROWS, TRAIN_CHARS = 4000, 12_000_000
 #: Words whose weight a worker remembers, and characters of texts that are looked at together.
 REMEMBERED, AT_ONCE = 500_000, 4_000_000
 
@@ -256,7 +256,16 @@ def train(sample: list[tuple[str, int]]) -> Model:
 
     Three quarters train the machine; the rest, which it hasn't seen, scale its scores (few labels do both).
     """
-    docs = [([own for s in sentences(t) if (own := [p for w in s for p in pieces(w)])], y) for t, y in sample]
+    cut_up: dict[str, list[str]] = {}  # words stand many times: one copy of each
+
+    def pieces_of(w: str) -> list[str]:
+        own = cut_up.get(w)
+        if own is None:
+            own = cut_up[w] = pieces(w)
+        return own
+
+    docs = [([own for s in sentences(t) if (own := [p for w in s for p in pieces_of(w)])], y) for t, y in sample]
+    cut_up.clear()
     n = [sum(y == k for _, y in docs) for k in (0, 1)]
     if not all(n):
         share = n[1] / max(1, sum(n))
@@ -272,8 +281,8 @@ def train(sample: list[tuple[str, int]]) -> Model:
     label = np.array([y for _, y in docs], float)
     # documents as bags: each landmark's closest sentence; kernels of words are kept for a few documents at a time
     bags, feats = np.ones((len(docs), len(kernel.landmarks) + 1)), []
-    for a in range(0, len(docs), 800):
-        part = docs[a : a + 800]
+    for a in range(0, len(docs), 300):
+        part = docs[a : a + 300]
         words = sorted({w for ss, _ in part for s in ss for w in s})
         at, of_word = {w: i for i, w in enumerate(words)}, kernel.of(words)
         for i, (ss, y) in enumerate(part):
@@ -300,7 +309,9 @@ def train(sample: list[tuple[str, int]]) -> Model:
         w = _svm(x, y, 0.5 * np.where(y > 0, (y < 0).sum() / max(1, (y > 0).sum()), 1.0))
     model = Model(kernel, nystroem @ w[:-1], float(w[-1]))
     tested = sorted({w for ss, _ in unseen for s in ss for w in s})
-    known = dict(zip(tested, (kernel.of(tested) @ model.weights).tolist())) if tested else {}
+    known = {}
+    for a in range(0, len(tested), 20_000):
+        known.update(zip(tested[a : a + 20_000], (kernel.of(tested[a : a + 20_000]) @ model.weights).tolist()))
     score = [(model.worst(ss, known), y) for ss, y in unseen]
     # toxic ones a second time, with a letter put into the word that weighs most
     heavy = [max(max(ss, key=lambda s: sum(map(known.__getitem__, s))), key=known.__getitem__) for ss, y in unseen if y and ss]
