@@ -172,14 +172,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = texts.dropDuplicates(["d", "tie"]) if repeated else texts
     parse = written(_parse(texts, least))
     n = parse.count()
-    # phrases that agree from the trigger on, by that key: how many, and whether they are all alike
-    shared = parse.groupBy("key").agg(F.count("*").alias("many"), (F.min("e") != F.max("e")).alias("contested")).where("many > 1")
+    # phrases that agree from the trigger on, by that key
+    shared = parse.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
     met = written(join_split(parse, shared, ["key"], "many", n).drop("many"))
     discard(parse)
-    again = written(_later(met, ["key", "e"], n).select("d", "tie", "x", "n"))
-    firsts = met.where("contested").groupBy("key", "e").agg(F.min(F.struct(*_PLACE, "n", "t")).alias("p")).select("p.*")
-    pieces = written(_pieces(texts, firsts, least))
+    dictionary = written(met.groupBy("key", "e").agg(F.min(F.struct(*_PLACE, "n", "t")).alias("p"), F.count("*").alias("many")))
+    first = dictionary.where("many > 1").select("key", "e", F.struct(*[f"p.{c}" for c in _PLACE]).alias("first"), "many")
+    again = written(join_split(met, first, ["key", "e"], "many", n).where(F.struct(*_PLACE) != F.col("first")).select("d", "tie", "x", "n"))
     discard(met)
+    contested = dictionary.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+    firsts = join_split(dictionary.select("key", "p"), contested, ["key"], "many", n).select("p.*")
+    pieces = written(_pieces(texts, firsts, least))
+    discard(dictionary)
     m = pieces.count()
     # pieces that agree in what their strings share: equal ones count once, the suffixes of the others are sorted
     alike = pieces.groupBy("core").agg(F.count("*").alias("many"), (F.min("whole") != F.max("whole")).alias("contested")).where("many > 1")
