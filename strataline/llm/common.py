@@ -30,7 +30,14 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    _let_go(df.sparkSession)
+    return out
+
+
+def _let_go(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of a finished job once the JVM's collector finds its plan unused; this lets it look now."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -40,6 +47,7 @@ def written(df: DataFrame) -> DataFrame:
     path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/written-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path.toString())
     path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    _let_go(spark)
     out = spark.read.schema(df.schema).parquet(path.toString())
     out.written_at = path
     return out

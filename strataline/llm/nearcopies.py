@@ -76,31 +76,42 @@ def with_set(docs: DataFrame, text_col: str, out_col: str) -> DataFrame:
 
 
 def _sets(texts: DataFrame) -> DataFrame:
-    """From sid, text: sid, n, own (the shingles as bytes), sketch and wide (bytes)."""
+    """From sid, text: sid, n (shingles), sketch and wide (bytes)."""
 
     def run(batches):
         for b in batches:
             own = [shingles(t or b"") for t in b["text"].to_pylist()]
             sketch = [sketch_of(x, 64 * SKETCH) for x in own]
             wide = [sketch_of(x, max(64 * SKETCH, 1 << (2 * len(x) - 1).bit_length())) for x in own]
-            yield pa.RecordBatch.from_arrays([b["sid"], pa.array([len(x) for x in own], pa.int32()), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(sketch, pa.binary()), pa.array(wide, pa.binary())], names=["sid", "n", "own", "sketch", "wide"])
+            yield pa.RecordBatch.from_arrays([b["sid"], pa.array([len(x) for x in own], pa.int32()), pa.array(sketch, pa.binary()), pa.array(wide, pa.binary())], names=["sid", "n", "sketch", "wide"])
 
-    return texts.select("sid", F.col("text").cast("binary").alias("text")).mapInArrow(run, "sid long, n int, own binary, sketch binary, wide binary")
+    return texts.select("sid", F.col("text").cast("binary").alias("text")).mapInArrow(run, "sid long, n int, sketch binary, wide binary")
 
 
-def _prefixes(sets: DataFrame) -> DataFrame:
+def _prefixes(texts: DataFrame) -> DataFrame:
     """key (a shingle), sid, n, pos for the first shingles of each set."""
 
     def run(batches):
         for b in batches:
-            n = b["n"].to_numpy()
+            own = [shingles(t or b"") for t in b["text"].to_pylist()]
+            n = np.array([len(x) for x in own], np.int32)
             many = [k - math.ceil(AT_LEAST * k) + 1 for k in n.tolist()]
             at = np.repeat(np.arange(len(n)), many)
-            key = np.concatenate([np.frombuffer(x, np.uint64)[:m] for x, m in zip(b["own"].to_pylist(), many)] or [np.zeros(0, np.uint64)])
+            key = np.concatenate([x[:m] for x, m in zip(own, many)] or [np.zeros(0, np.uint64)])
             pos = np.concatenate([np.arange(m) for m in many] or [np.zeros(0, np.int64)])
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b["sid"].take(pa.array(at)), pa.array(n[at]), pa.array(pos.astype(np.int32))], names=["key", "sid", "n", "pos"])
 
-    return sets.select("sid", "n", "own").mapInArrow(run, "key long, sid long, n int, pos int")
+    return texts.select("sid", F.col("text").cast("binary").alias("text")).mapInArrow(run, "key long, sid long, n int, pos int")
+
+
+def _shingled(texts: DataFrame) -> DataFrame:
+    """sid, own (the shingles as bytes)."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["sid"], pa.array([shingles(t or b"").tobytes() for t in b["text"].to_pylist()], pa.binary())], names=["sid", "own"])
+
+    return texts.select("sid", F.col("text").cast("binary").alias("text")).mapInArrow(run, "sid long, own binary")
 
 
 def _apart(batches):
@@ -160,7 +171,7 @@ def _thinned(pairs: DataFrame, sets: DataFrame, sketch: str) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "nx", "ny", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs a, b whose sets are similar enough."""
     up, down = AT_LEAST.numerator, AT_LEAST.denominator
 
@@ -178,7 +189,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = written(_thinned(narrow, sets, "wide"))
     # only the sets that still are in a pair are fetched, once
     wanted = left.select(F.col("a").alias("sid")).unionAll(left.select(F.col("b").alias("sid"))).distinct()
-    own = written(sets.select("sid", "own").join(wanted, "sid"))
+    own = written(_shingled(texts.join(wanted, "sid")))
     one, two = (own.select(F.col("sid").alias(c), F.col("own").alias(o)) for c, o in (("a", "x"), ("b", "y")))
     out = cut(left.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
     discard(own)
@@ -193,20 +204,20 @@ def similar_components(texts: DataFrame, proposed: DataFrame) -> DataFrame:
     found otherwise; they are confirmed in the first round and spare the second those that they tie. No rows: no rows.
     """
     sets = written(_sets(texts))
-    prefixes = _prefixes(sets)
+    prefixes = _prefixes(texts)
     shared = prefixes.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key")
     met = written(prefixes.join(shared, "key"))
     # the smallest set under each shingle with all others that it can be similar to by size
     smallest = met.groupBy("key").agg(F.min(F.struct("n", "sid")).alias("f"))
     long_enough = F.col("f.n") * AT_LEAST.denominator >= F.col("n") * AT_LEAST.numerator
     stars = met.join(smallest, "key").where((F.col("f.sid") != F.col("sid")) & long_enough).select(F.least("f.sid", "sid").alias("a"), F.greatest("f.sid", "sid").alias("b"))
-    first = _confirmed(stars.unionAll(proposed), sets)
+    first = _confirmed(stars.unionAll(proposed), sets, texts)
     tied = components(first)
     named = met.join(tied, met.sid == tied.node, "left").select("key", "n", "pos", "sid", F.coalesce("component", "sid").alias("comp"))
     split = named.groupBy("key").agg((F.min("comp") != F.max("comp")).alias("split")).where("split").select("key")
     left = named.join(split, "key").join(sets.select("sid", "sketch"), "sid").select("key", "n", "pos", "sid", "comp", "sketch")
     tried = left.repartition("key").sortWithinPartitions("key", "n", "sid").mapInArrow(_apart, "a long, b long")
-    second = _confirmed(tried, sets)
+    second = _confirmed(tried, sets, texts)
     discard(met)
     discard(sets)
     return components(first.unionAll(second))

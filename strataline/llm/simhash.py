@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import nearcopies
-from .common import cut, fresh, others, whole_id, written
+from .common import cut, discard, fresh, others, whole_id, written
 from .components import Forest, components
 
 #: A value under which more distinct fingerprints meet is split further.
@@ -232,14 +232,17 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     of these shingles propose most links; those further apart are found exactly too, and all are confirmed (see nearcopies). Rows that repeat an id, or that have none, are rows like any other: of each group exactly
     one stays. Texts without words (null too) are copies of each other.
     """
-    row, sid = fresh(docs, "row_number", "set_name")
+    row, sid, first = fresh(docs, "row_number", "set_name", "first_place")
     marked = written(nearcopies.with_set(docs, text_col, sid).withColumn(row, F.monotonically_increasing_id()))
     place = F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(F.col(text_col)), F.col(row).alias("row"))
-    least = cut(marked.groupBy(F.col(sid).alias("sid")).agg(F.min(place).alias("first")))
-    texts = marked.join(least.select(F.col("first.row").alias(row)), row).select(F.col(sid).alias("sid"), F.col(text_col).alias("text"))
+    least = marked.groupBy(F.col(sid).alias("sid")).agg(F.min(place).alias(first))
+    # of texts of one set only the first can stay; the others are done with
+    kept = written(marked.join(least.select(first, F.col(f"{first}.row").alias(row)), row))
+    discard(marked)
+    texts = kept.select(F.col(sid).alias("sid"), F.col(text_col).alias("text"))
     tied = nearcopies.similar_components(texts, proposed_pairs(texts))
-    groups = least.join(tied, least.sid == tied.node, "left").groupBy(F.coalesce("component", "sid")).agg(F.min("first").alias("first"))
-    return marked.join(groups.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)
+    groups = kept.select(F.col(sid).alias("sid"), F.col(first).alias("first")).join(tied, F.col("sid") == F.col("node"), "left").groupBy(F.coalesce("component", "sid")).agg(F.min("first").alias("first"))
+    return kept.join(groups.select(F.col("first.row").alias(row)), row, "left_semi").select(*[f"`{c}`" for c in docs.columns])
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:
