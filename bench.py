@@ -7,7 +7,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from strataline.plans import climate, registry  # noqa: F401
+from strataline.plans import climate, ocean, registry  # noqa: F401 (these fill the registry)
 
 
 def main() -> None:

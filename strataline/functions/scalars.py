@@ -1,4 +1,4 @@
-"""Scalar expressions over columns: weights, tails of distributions, classes and interpolation in profiles."""
+"""Scalar expressions over columns: weights, tails of distributions, distances and classes."""
 
 from __future__ import annotations
 
@@ -45,3 +45,48 @@ def water_mass(t: Column, s: Column) -> Column:
 
 def stars(p: Column) -> Column:
     return F.when(p < 0.01, "***").when(p < 0.05, "**").when(p < 0.1, "*").otherwise("")
+
+
+def student_two_sided(t: Column, df: Column, rounds: int = 200) -> Column:
+    """Two-sided tail of Student's t of df degrees of freedom (not only whole ones), by the incomplete beta function's continued fraction."""
+    x, a = df / (df + t * t), df / 2
+    swap = x >= (a + 1) / (a + 2.5)
+    p, q, z = F.when(swap, 0.5).otherwise(a), F.when(swap, a).otherwise(0.5), F.when(swap, 1 - x).otherwise(x)
+    # gamma(a + 1/2) / gamma(a): its series at a + 10, and ten steps down
+    high = a + 10
+    gammas = F.sqrt(high) * (1 - 1 / (8 * high) + 1 / (128 * high**2) + 5 / (1024 * high**3) - 21 / (32768 * high**4))
+    gammas = F.aggregate(F.sequence(F.lit(0), F.lit(9)), gammas, lambda g, k: g * (a + k) / (a + k + 0.5))
+    front = F.pow(x, a) * F.sqrt(1 - x) * gammas / 1.772453850905516
+    far = lambda v: F.when(F.abs(v) < 1e-300, 1e-300).otherwise(v)
+    start = F.struct(F.lit(1.0).alias("c"), (1 / far(1 - (p + q) * z / (p + 1))).alias("d"), (1 / far(1 - (p + q) * z / (p + 1))).alias("h"))
+
+    def half(s: Column, by: Column) -> Column:
+        return F.struct(far(1 + by / s["c"]).alias("c"), (1 / far(1 + by * s["d"])).alias("d"), s["h"].alias("h"))
+
+    def step(s: Column, m: Column) -> Column:
+        one = half(s, m * (q - m) * z / ((p - 1 + 2 * m) * (p + 2 * m)))
+        h = one["h"] * one["c"] * one["d"]
+        two = half(F.struct(one["c"].alias("c"), one["d"].alias("d"), h.alias("h")), -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 1 + 2 * m)))
+        return F.struct(two["c"].alias("c"), two["d"].alias("d"), (two["h"] * two["c"] * two["d"]).alias("h"))
+
+    total = front * F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda s: s["h"]) / p
+    return F.when(t == 0, 1.0).otherwise(F.when(swap, 1 - total).otherwise(total))
+
+
+def eddy_energy(su: Column, sv: Column) -> Column:
+    return 0.5 * (su * su + sv * sv)
+
+
+def shear(u0: Column, v0: Column, u1: Column, v1: Column, dz: Column) -> Column:
+    """Per 1000 units of depth, where the levels lie 20 or more apart."""
+    return F.when(dz >= 20, F.hypot(u1 - u0, v1 - v0) / F.greatest(dz, F.lit(10.0)) * 1000)
+
+
+def rescaled(v: Column, when: Column) -> Column:
+    """Values read with the wrong palette, on the rows marked."""
+    return F.when(when, (v + 2) * 37 / 32 - 2).otherwise(v)
+
+
+def decoded_bytes(q: Column, add: float, by: float) -> Column:
+    """One byte of fixed point: add + q / by; 255 is missing."""
+    return F.when(q != 255, add + q / by)

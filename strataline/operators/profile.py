@@ -25,7 +25,7 @@ def profile_metrics(levels: DataFrame, keys: list[str], p: str = "p", t: str = "
 
     goal = F.col("ts") - drop
     fallen = (F.col("t") <= goal) & (F.col("t0") > goal)
-    iso = (F.col("t") <= isotherm) & (F.col("t0") >= isotherm) & (F.col("t") < F.col("t0")) & (F.col("ts") >= isotherm) & (F.col("tb") <= isotherm)
+    iso = (F.col("t") <= isotherm) & (F.col("t0") > isotherm) & (F.col("ts") >= isotherm) & (F.col("tb") <= isotherm)
     deep = F.max(F.when(F.col("p") <= to, F.col("p")))
     area = F.sum(F.when(F.col("p") <= to, 0.5 * (F.col("t") + F.col("t0")) * (F.col("p") - F.col("p0"))))
     out = rows.groupBy(*keys).agg(

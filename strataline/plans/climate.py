@@ -216,7 +216,7 @@ def sen_trend(spark, d):
     f"""WITH l AS (SELECT p_brand AS brand, p_size::DOUBLE AS p, round(avg(p_retailprice) + 0.00000037, 2) AS t FROM part GROUP BY 1, 2),
     g AS (SELECT *, lag(p) OVER w AS p0, lag(t) OVER w AS t0, first(t) OVER (PARTITION BY brand ORDER BY p) AS ts FROM l WINDOW w AS (PARTITION BY brand ORDER BY p)),
     h AS (SELECT *, last(t) OVER (PARTITION BY brand ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS tb, round(-(t - t0) / (p - p0), 6) AS gr FROM g),
-    i AS (SELECT *, t <= ts - 50 AND t0 > ts - 50 AS fell, t <= 1400 AND t0 >= 1400 AND t < t0 AND ts >= 1400 AND tb <= 1400 AS cross FROM h)
+    i AS (SELECT *, t <= ts - 50 AND t0 > ts - 50 AS fell, t <= 1400 AND t0 > 1400 AND ts >= 1400 AND tb <= 1400 AS cross FROM h)
     SELECT brand, count(*)::BIGINT AS nlev, {R('first(ts)', 'surface')}, max(p) AS pmax, {R('arg_min(p0 + (p - p0) * (t0 - (ts - 50)) / (t0 - t), p) FILTER (fell)', 'mld')},
       {R('arg_max((p + p0) / 2, (gr, -p)) FILTER (p0 IS NOT NULL)', 'thd')}, {R('max(gr) * 100', 'thg')}, {R('arg_min(p0 + (p - p0) * (t0 - 1400) / (t0 - t), p) FILTER ("cross")', 'iso')},
       CASE WHEN max(p) FILTER (p <= 40) >= 0.8 * 40 THEN {R('(sum(0.5 * (t + t0) * (p - p0)) FILTER (p <= 40)) / (max(p) FILTER (p <= 40) - min(p))', 'x').removesuffix(' AS x')} END AS mean_to

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from strataline.plans import climate, registry  # noqa: F401
+from strataline.plans import climate, ocean, registry  # noqa: F401 (these fill the registry)
 
 DATA = "/root/testdata/sf0.001"
 
