@@ -17,7 +17,7 @@ def no_nan(x: Column) -> Column:
 
 def quantised(x: Column, scale: float = 100.0) -> Column:
     """Fixed point in 16 bits, clipped; null as -32768."""
-    return F.coalesce(F.greatest(F.lit(-32767), F.least(F.lit(32767), F.round(x * scale))), F.lit(-32768)).cast("short")
+    return F.when(x.isNotNull(), F.greatest(F.lit(-32767), F.least(F.lit(32767), F.round(x * scale)))).otherwise(-32768).cast("short")
 
 
 def dequantised(x: Column, scale: float = 100.0) -> Column:
