@@ -19,6 +19,7 @@ def main() -> None:
         .config("spark.driver.memory", "8g").config("spark.sql.warehouse.dir", f"{home}/warehouse").config("spark.checkpoint.dir", f"{home}/shared").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    spark.read.parquet(f"{sf}/nation.parquet").groupBy("n_regionkey").count().collect()  # the session's start isn't a query's time
     took = {}
     for name, query in registry.queries().items():
         began = time.time()

@@ -47,30 +47,41 @@ def stars(p: Column) -> Column:
     return F.when(p < 0.01, "***").when(p < 0.05, "**").when(p < 0.1, "*").otherwise("")
 
 
+def _named(then, **columns: Column) -> Column:
+    """then(row) over the columns computed once, as a row."""
+    return F.transform(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])), then)[0]
+
+
 def student_two_sided(t: Column, df: Column, rounds: int = 200) -> Column:
     """Two-sided tail of Student's t of df degrees of freedom (not only whole ones), by the incomplete beta function's continued fraction."""
-    x, a = df / (df + t * t), df / 2
-    swap = x >= (a + 1) / (a + 2.5)
-    p, q, z = F.when(swap, 0.5).otherwise(a), F.when(swap, a).otherwise(0.5), F.when(swap, 1 - x).otherwise(x)
-    # gamma(a + 1/2) / gamma(a): its series at a + 10, and ten steps down
-    high = a + 10
-    gammas = F.sqrt(high) * (1 - 1 / (8 * high) + 1 / (128 * high**2) + 5 / (1024 * high**3) - 21 / (32768 * high**4))
-    gammas = F.aggregate(F.sequence(F.lit(0), F.lit(9)), gammas, lambda g, k: g * (a + k) / (a + k + 0.5))
-    front = F.pow(x, a) * F.sqrt(1 - x) * gammas / 1.772453850905516
     far = lambda v: F.when(F.abs(v) < 1e-300, 1e-300).otherwise(v)
-    start = F.struct(F.lit(1.0).alias("c"), (1 / far(1 - (p + q) * z / (p + 1))).alias("d"), (1 / far(1 - (p + q) * z / (p + 1))).alias("h"))
-
-    def half(s: Column, by: Column) -> Column:
-        return F.struct(far(1 + by / s["c"]).alias("c"), (1 / far(1 + by * s["d"])).alias("d"), s["h"].alias("h"))
-
-    def step(s: Column, m: Column) -> Column:
-        one = half(s, m * (q - m) * z / ((p - 1 + 2 * m) * (p + 2 * m)))
-        h = one["h"] * one["c"] * one["d"]
-        two = half(F.struct(one["c"].alias("c"), one["d"].alias("d"), h.alias("h")), -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 1 + 2 * m)))
-        return F.struct(two["c"].alias("c"), two["d"].alias("d"), (two["h"] * two["c"] * two["d"]).alias("h"))
 
-    total = front * F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda s: s["h"]) / p
-    return F.when(t == 0, 1.0).otherwise(F.when(swap, 1 - total).otherwise(total))
+    def fraction(r: Column) -> Column:
+        p, q, z = r["p"], r["q"], r["z"]
+        first = 1 / far(1 - (p + q) * z / (p + 1))
+
+        def step(s: Column, k: Column) -> Column:
+            m = F.floor(k / 2)
+            by = F.when(k % 2 == 0, m * (q - m) * z / ((p - 1 + 2 * m) * (p + 2 * m))).otherwise(-(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 1 + 2 * m)))
+            c, d = far(1 + by / s["c"]), 1 / far(1 + by * s["d"])
+            return F.struct(c.alias("c"), d.alias("d"), (s["h"] * c * d).alias("h"))
+
+        start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h"))
+        total = r["front"] * F.aggregate(F.sequence(F.lit(2), F.lit(2 * rounds + 1)), start, step, lambda s: s["h"]) / p
+        return F.when(r["swap"], 1 - total).otherwise(total)
+
+    def tail(r: Column) -> Column:
+        a, x = r["a"], r["x"]
+        # gamma(a + 1/2) / gamma(a): its series at a + 10, and ten steps down
+        high = a + 10
+        gammas = F.sqrt(high) * (1 - 1 / (8 * high) + 1 / (128 * high**2) + 5 / (1024 * high**3) - 21 / (32768 * high**4))
+        gammas = F.aggregate(F.sequence(F.lit(0), F.lit(9)), gammas, lambda g, k: g * (a + k) / (a + k + 0.5))
+        swap = x >= (a + 1) / (a + 2.5)
+        half = F.lit(0.5)
+        return _named(fraction, swap=swap, p=F.when(swap, half).otherwise(a), q=F.when(swap, a).otherwise(half), z=F.when(swap, 1 - x).otherwise(x), front=F.pow(x, a) * F.sqrt(1 - x) * gammas / 1.772453850905516)
+
+    whole = _named(lambda r: _named(tail, a=r["df"] / 2, x=r["df"] / (r["df"] + r["t"] * r["t"])), t=t.cast("double"), df=df.cast("double"))
+    return F.when(t == 0, 1.0).otherwise(whole)
 
 
 def eddy_energy(su: Column, sv: Column) -> Column:
