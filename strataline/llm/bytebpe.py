@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh
+from .common import fresh, others
 
 #: Words that are looked at together, and words that a Python worker remembers.
 WORDS_AT_ONCE, REMEMBERED = 250_000, 500_000
@@ -165,7 +165,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str
     """
     out = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     names = [f.name for f in out]
-    kept = [c for c in docs.columns if c not in names]
+    kept = others(docs, *names)
     (raw,) = fresh(docs, "text_to_encode")
 
     def run(batches):

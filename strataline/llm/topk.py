@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .common import whole_id
+
 DIMS_PER_BLOCK = 8
 #: Below this every sum of products of integers is exact in doubles.
 EXACT = float(1 << 53)
@@ -84,15 +86,21 @@ def _exactly(queries: np.ndarray, q_ids: np.ndarray, cands: np.ndarray, c_ids: n
     return out
 
 
+def _in_64_bits(score: int) -> int:
+    if not -(1 << 63) <= score < 1 << 63:
+        raise OverflowError(f"the score {score} needs more than 64 bits: use a smaller scale")
+    return score
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vec_col: str = "embedding", query_block: int = 2048, cand_block: int = 8192) -> DataFrame:
     """query_id, rank from 1, vec_id, score: the k rows of highest integer inner product with each query row.
 
     Components count as floor(scale * x). A query's own row isn't its candidate; equal scores go to the smaller id.
     Vectors that are null or hold null or non-finite components take no part; vectors of another length than the
-    query's aren't its candidates. Repeated rows count as often as they stand. A score beyond 64 bits becomes null.
+    query's aren't its candidates. Repeated rows count as often as they stand. A score beyond 64 bits is an error.
     No vectors: no rows. Other columns are ignored.
     """
-    rows = vectors.where(usable(F.col(vec_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), F.size(vec_col).alias("dim"), is_query.alias("q"))
+    rows = vectors.where(usable(F.col(vec_col)) & F.col(id_col).isNotNull()).select(whole_id(vectors, id_col).alias("id"), F.col(vec_col).alias("v"), F.size(vec_col).alias("dim"), is_query.alias("q"))
     n, nq = rows.agg(F.count("*"), F.count_if("q")).first()
     q_blocks, c_blocks = max(1, math.ceil(nq / query_block)), max(1, math.ceil(n / cand_block))
     deal = lambda blocks: F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
@@ -113,7 +121,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
                 for j, s in zip(rows_, scores):
                     found[0].append(int(q_ids[i]))
                     found[1].append(int(c_ids[j]))
-                    found[2].append(int(s) if abs(s) < 1 << 63 else None)
+                    found[2].append(_in_64_bits(int(s)))
         return pa.table([pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
 
     met = cands.unionByName(asked).groupBy("dim", "qb", "cb").applyInArrow(meet, schema)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, join_split, whole_id
 from .components import Forest, components
 from .topk import matrix, usable
 
@@ -155,10 +155,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id",
     """One row per row of vectors: its id, n_links, component_id, kept; linked are rows of cosine >= least (in doubles).
 
     Equal vectors are compared once and counted as often as they stand. Vectors that are null, empty, all zero or hold
-    null or non-finite components link with nothing, nor do vectors of different length; they are their own component.
+    null or non-finite components link with nothing, nor do vectors of different length; they are their own component,
+    a null id too (kept: true).
     Repeated rows link with each other like any equal vectors. No rows: no rows. Other columns are ignored.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
+    rows = vectors.select(whole_id(vectors, id_col).alias("id"), F.col(vec_col).alias("v"))
     fit = usable(F.col("v")) & F.exists("v", lambda x: x != 0)
     distinct = cut(rows.where(fit).groupBy("v").agg(F.min("id").alias("rid"), F.count("*").alias("w")))
     found = None
@@ -171,8 +172,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id",
     links = found.groupBy("rid").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("rid").alias("a"), F.col("root").alias("b")))
     known = distinct.join(links, "rid", "left").join(roots, F.col("rid") == F.col("node"), "left")
-    known = known.select("v", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("links"), F.coalesce("component", "rid").alias("component"))
+    known = known.select("v", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("links"), F.coalesce("component", "rid").alias("component"), "w")
+    total = distinct.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
     # rows without a usable vector skip the join on it
-    good = rows.where(fit).join(known, "v").select("id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
+    good = join_split(rows.where(fit), known, ["v"], "w", total).select("id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
     rest = rows.where(~F.coalesce(fit, F.lit(False))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return good.unionAll(rest).select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return good.unionAll(rest).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
