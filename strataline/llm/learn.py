@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def fold(id_col: str, of: int) -> Column:
@@ -11,12 +16,12 @@ def fold(id_col: str, of: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % of
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int, chars: int, id_col: str = "doc_id") -> list[tuple[str, int]]:
-    """At most rows texts with their label (0 or 1), half of each label where there are enough, of at most chars characters in all.
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int, chars: int, id_col: str = "doc_id") -> DataFrame | None:
+    """place, text, y: at most rows texts with their label (0 or 1), half of each label where there are enough, of at most chars characters in all; None if there are none.
 
     Which ones is decided by a hash of the id alone, so that the sample is the same wherever the rows lie and texts of
-    every length are in it; in that order texts are taken while they fit into chars. Rows without a text or a label are
-    left out; of repeated ids one row counts.
+    every length are in it; in that order, that of place, texts are taken while they fit into chars. Rows without a text
+    or a label are left out; of repeated ids one row counts.
     """
     marked = labels.where(usable & F.col(label).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(label).cast("int").alias("y")).dropDuplicates(["i"])
     chosen = None
@@ -30,12 +35,30 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     for r in sorted(sizes, key=lambda r: (hash_order(r.i), r.i)):
         if r.n <= left:
             left -= r.n
-            fit.append((r.i, r.y))
+            fit.append((r.i, r.y, len(fit)))
     if not fit:
-        return []
-    fit = docs.sparkSession.createDataFrame(fit, marked.schema)
-    got = texts.join(F.broadcast(fit), "i").groupBy("i").agg(F.max(F.struct(F.length("text").alias("n"), "text")).alias("t"), F.max("y").alias("y")).collect()
-    return [(r.t.text, r.y) for r in sorted(got, key=lambda r: (hash_order(r.i), r.i))]
+        return None
+    fit = docs.sparkSession.createDataFrame(fit, T.StructType([*marked.schema.fields, T.StructField("place", T.IntegerType())]))
+    longest = F.max(F.struct(F.length("text").alias("n"), "text"))
+    return texts.join(F.broadcast(fit), "i").groupBy("place").agg(longest.alias("t"), F.max("y").alias("y")).select("place", F.col("t.text").alias("text"), "y")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int, chars: int) -> list[tuple[str, int]]:
+    """The texts and labels of labelled_rows in order, on the driver."""
+    sample = labelled_rows(docs, labels, label, usable, rows, chars)
+    return [(r.text, r.y) for r in sample.orderBy("place").collect()] if sample is not None else []
+
+
+def trained(sample: DataFrame | None, train: Callable[[list[tuple[str, int]]], object]) -> object:
+    """train of labelled_rows' texts and labels in order, run in one task: only the model comes to the driver."""
+    if sample is None:
+        return train([])
+
+    def run(batches):
+        rows = sorted(r for b in batches for r in zip(*(b[c].to_pylist() for c in ("place", "text", "y"))))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([(t, y) for _, t, y in rows]))], pa.binary())], names=["model"])
+
+    return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").first().model)
 
 
 def hash_order(i) -> int:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fresh, others
-from .learn import fold, labelled_sample
+from .learn import fold, labelled_rows, trained
 
 DECAY, SPAN, POWER = 0.8, 6, 2
 #: Letters of a word that are looked at together; a longer word counts as its overlapping pieces, each a word.
@@ -252,7 +252,7 @@ def _with_letters_put_in(told: list[tuple[list[str], np.ndarray]], kernel: Kerne
 
 
 def train(sample: list[tuple[str, int]]) -> Model:
-    """A model from texts with labels 0 and 1; without both labels it scores every text alike.
+    """A model from texts with labels 0 and 1; without words of both labels it scores every text alike.
 
     Three quarters train the machine; the rest, which it hasn't seen, scale its scores (few labels do both).
     """
@@ -267,35 +267,38 @@ def train(sample: list[tuple[str, int]]) -> Model:
     docs = [([own for s in sentences(t) if (own := [p for w in s for p in pieces_of(w)])], y) for t, y in sample]
     cut_up.clear()
     n = [sum(y == k for _, y in docs) for k in (0, 1)]
-    if not all(n):
-        share = n[1] / max(1, sum(n))
-        return Model(Kernel(["abc"]), np.zeros(1), 0.0, 0.0, float(np.log((share + 0.01) / (1.01 - share))))
     by_label = [[d for d in docs if d[1] == k] for k in (0, 1)]
     apart = min(n) >= 40
     unseen = [d for part in by_label for d in part[:: 4 if apart else 1]]
     docs = [d for part in by_label for i, d in enumerate(part) if (i % 4 or not apart) and d[0]]
+    if {y for _, y in docs} != {0, 1}:
+        share = n[1] / max(1, sum(n))
+        return Model(Kernel(["abc"]), np.zeros(1), 0.0, 0.0, float(np.log((share + 0.01) / (1.01 - share))))
     kernel = Kernel(landmarks_of(docs))
     gram = kernel.of(kernel.landmarks).astype(float)
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
     nystroem = vector / np.sqrt(np.maximum(value, 1e-4))
     label = np.array([y for _, y in docs], float)
     # documents as bags: each landmark's closest sentence; kernels of words are kept for a few documents at a time
-    bags, feats = np.ones((len(docs), len(kernel.landmarks) + 1)), []
+    bags = np.ones((len(docs), len(kernel.landmarks) + 1))
+    ends = np.cumsum([len(ss) for ss, _ in docs])
+    features = np.ones((ends[-1], bags.shape[1]), np.float32)
+    feats = np.split(features, ends[:-1])
     for a in range(0, len(docs), 300):
         part = docs[a : a + 300]
         words = sorted({w for ss, _ in part for s in ss for w in s})
         at, of_word = {w: i for i, w in enumerate(words)}, kernel.of(words)
-        for i, (ss, y) in enumerate(part):
+        for i, (ss, _) in enumerate(part):
             sums = np.array([of_word[[at[w] for w in s]].sum(axis=0) for s in ss])
             bags[a + i, :-1] = sums.max(axis=0)
-            feats.append((np.c_[sums @ nystroem, np.ones(len(ss))].astype(np.float32), y))
+            feats[a + i][:, :-1] = sums @ nystroem
     weight = np.where(label == 1, 0.5 / max(1, label.sum()), 0.5 / max(1, (1 - label).sum())) * len(docs)
     ridge = np.linalg.solve((bags * weight[:, None]).T @ bags + 10 * np.eye(bags.shape[1]), (bags * weight[:, None]).T @ (2 * label - 1))
     w = np.r_[np.linalg.lstsq(nystroem, ridge[:-1], rcond=None)[0], ridge[-1]]
     rng = np.random.default_rng(5)
     for _ in range(4):
         rows, ys, told = [], [], []
-        for (f, y), (ss, _) in zip(feats, docs):
+        for f, (ss, y) in zip(feats, docs):
             score = f @ w
             # the witness; of clean documents the hardest sentences and two others
             pick = [int(np.argmax(score))] if y else np.unique(np.r_[np.argsort(-score)[:2], rng.integers(0, len(f), 2)])
@@ -378,8 +381,8 @@ def with_toxicity(docs: DataFrame, model: Model, text_col: str = "text", out_col
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model of a bounded sample of the labelled rows outside the fifth that is held out."""
-    return train(labelled_sample(docs, labels, "toxic", fold("doc_id", 5) != 0, TRAIN_ROWS, TRAIN_CHARS))
+    """The model of a bounded sample of the labelled rows outside the fifth that is held out, trained in one task."""
+    return trained(labelled_rows(docs, labels, "toxic", fold("doc_id", 5) != 0, TRAIN_ROWS, TRAIN_CHARS), train)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

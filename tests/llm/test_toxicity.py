@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from strataline.llm import toxicity as tox
+from strataline.llm.learn import fold, labelled_rows
 
 
 def spectrum(word):
@@ -76,3 +77,21 @@ def test_other_columns_and_repeats(spark):
     assert sorted(c.lower() for c in out.columns) == ["doc_id", "text", "text_to_score", "toxicity"]
     rows = out.select("toxicity", "text_to_score").collect()
     assert len(rows) == 3 and rows[0] == rows[1] and tox.with_toxicity(df.where("false"), model).count() == 0
+
+
+def test_labelled_texts_without_words_score_alike(spark):
+    docs = spark.createDataFrame([(i, "" if i % 2 else "good words here.") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    rows = tox.toxicity_scores(docs, labels).collect()
+    assert len(rows) == 200 and len({r.score for r in rows}) == 1
+
+
+def test_trained_in_a_task_as_on_the_driver(spark):
+    texts = [f"{'you vile gr%dub' % (i % 3) if i % 2 else 'a kind word'} and number w{'abcdefg'[i % 7]}x." for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int").repartition(3)
+    one = tox.fit(docs, labels)
+    rows = labelled_rows(docs, labels, "toxic", fold("doc_id", 5) != 0, tox.TRAIN_ROWS, tox.TRAIN_CHARS).orderBy("place").collect()
+    two = tox.train([(r.text, r.y) for r in rows])
+    assert len(rows) > 200 and one.kernel.landmarks == two.kernel.landmarks
+    assert (one.weights == two.weights).all() and (one.slope, one.shift) == (two.slope, two.shift)
