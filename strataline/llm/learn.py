@@ -66,3 +66,11 @@ def hash_order(i) -> int:
     import zlib
 
     return zlib.crc32(b"order" + str(i).encode())
+
+
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+def lowered(text: str) -> bytes:
+    """A text's UTF-8 bytes with A to Z, and nothing else, in lower case."""
+    return text.encode("utf-8", "surrogatepass").translate(_LOWER)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, chat, packing, pii, quality, simhash, suffixdedup, topk, toxicity, vectorjoin
+from . import bytebpe, chat, codes, packing, pii, quality, simhash, spelling, suffixdedup, topk, toxicity, vectorjoin
 from .common import table
 
 
@@ -61,6 +61,14 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffixdedup": op1_suffixdedup,
     "op2_toxicity": op2_toxicity,
@@ -72,9 +80,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
     "op10_topk": op10_topk,
+    "op11_spelling": op11_spelling,
+    "op12_codes": op12_codes,
 }
 
 ORACLES: dict[str, str] = {
     "op8_pii": pii.oracle(),
     "op10_topk": topk.oracle(),
+    "op12_codes": codes.oracle(),
 }
