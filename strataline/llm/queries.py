@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, chat, codes, packing, pii, quality, simhash, spelling, suffixdedup, topk, toxicity, vectorjoin
+from . import bytebpe, chat, codes, lm, packing, pii, quality, simhash, spelling, suffixdedup, topk, toxicity, vectorjoin
 from .common import table
 
 
@@ -69,6 +69,10 @@ def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.vector_codes(table(spark, sf_dir, "embeddings"))
 
 
+def op13_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.text_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffixdedup": op1_suffixdedup,
     "op2_toxicity": op2_toxicity,
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_topk": op10_topk,
     "op11_spelling": op11_spelling,
     "op12_codes": op12_codes,
+    "op13_lmscore": op13_lmscore,
 }
 
 ORACLES: dict[str, str] = {
