@@ -78,12 +78,25 @@ def corrected_correlation(df: DataFrame, keys: list[str], x: str, y: str, edges:
 
 
 def period_shift(df: DataFrame, node: list[str], period: str, a: int, b: int, value: str, weight: str) -> DataFrame:
-    """node, dv, dw: change of value from period a to b, and of the share of weight in percent, for nodes that have both."""
-    whole = Window.partitionBy(period)
-    share = df.select(*node, period, value, (F.col(weight) / F.sum(weight).over(whole) * 100).alias("share"))
-    pick = lambda c, p: F.max(F.when(F.col(period) == p, F.col(c)))
-    out = share.groupBy(*node).agg(*[pick(c, p).alias(f"{c}{p}") for c in (value, "share") for p in (a, b)])
-    return out.select(*node, (F.col(f"{value}{b}") - F.col(f"{value}{a}")).alias("dv"), (F.col(f"share{b}") - F.col(f"share{a}")).alias("dw")).dropna(subset=["dv", "dw"])
+    """node, dv, dw, w: change of value from period a to b, of the share of weight in percent, and both weights' sum.
+
+    Of nodes with a row in both periods and some weight in one; shares are of those in both. A missing value leaves dv null.
+    """
+    at = lambda c, p: F.max(F.when(F.col(period) == p, F.col(c)))
+    there = lambda p: F.count_if(F.col(period) == p) > 0
+    both = df.where(F.col(period).isin(a, b)).groupBy(*node).agg((there(a) & there(b)).alias("_both"), at(value, a).alias("va"), at(value, b).alias("vb"), at(weight, a).alias("wa"), at(weight, b).alias("wb")).where("_both")
+    whole = F.broadcast(both.agg(F.sum("wa").alias("sa"), F.sum("wb").alias("sb")))  # one row
+    out = both.join(whole).where("wa > 0 OR wb > 0")
+    return out.select(*node, (F.col("vb") - F.col("va")).alias("dv"), (F.try_divide("wb", "sb") * 100 - F.try_divide("wa", "sa") * 100).alias("dw"), (F.col("wa") + F.col("wb")).alias("w"))
+
+
+def shift_correlation(shift: DataFrame, keys: list[str], least: int = 12) -> DataFrame:
+    """keys, n, rho, p, dmean: rank correlation of a period_shift's dv with dw, and the mean of dv by weight; least nodes or more."""
+    rows = shift.where("dv IS NOT NULL AND dw IS NOT NULL")
+    mean = rows.groupBy(*keys).agg(F.try_divide(F.sum(F.col("dv") * F.col("w")), F.sum("w")).alias("dmean"))
+    out = stats.spearman(rows, keys, "dv", "dw").where(F.col("n") >= least).join(mean, keys)
+    t = F.abs("rho") * F.sqrt((F.col("n") - 2) / F.greatest(F.lit(1e-12), 1 - F.col("rho") * F.col("rho")))
+    return out.select(*keys, "n", "rho", student_two_sided(t, (F.col("n") - 2).cast("double")).alias("p"), "dmean")
 
 
 def outline(cells: DataFrame, j: str = "j", i: str = "i") -> DataFrame:
@@ -93,11 +106,24 @@ def outline(cells: DataFrame, j: str = "j", i: str = "i") -> DataFrame:
     return near.join(cells.select(F.col(j).alias("_j"), F.col(i).alias("_i")), ["_j", "_i"], "left_anti").select(j, i, "side")
 
 
+def surroundings_median(df: DataFrame, keys: list[str], value: str, half: int = 2) -> DataFrame:
+    """keys, j, i, mid: median of the values around each cell of a lattice; beyond an edge its cells count again."""
+    d = F.explode(F.sequence(F.lit(-half), F.lit(half)))
+    ends = df.groupBy(*keys).agg(*[f(c).alias(f"{c}{n}") for c in ("j", "i") for n, f in ((0, F.min), (1, F.max))])
+    inside = lambda c: F.greatest(F.least(F.col(c) + F.col(f"d{c}"), F.col(f"{c}1")), F.col(f"{c}0"))
+    near = df.select(*keys, "j", "i").join(ends, keys).select("*", d.alias("dj")).select("*", d.alias("di"))
+    near = near.select(*keys, "j", "i", inside("j").alias("_j"), inside("i").alias("_i"))
+    have = df.where(F.col(value).isNotNull()).select(*keys, F.col("j").alias("_j"), F.col("i").alias("_i"), F.col(value).alias("_x"))
+    return near.join(have, [*keys, "_j", "_i"]).groupBy(*keys, "j", "i").agg(F.median("_x").alias("mid"))
+
+
 def cleaned(df: DataFrame, keys: list[str], value: str, above: float = 0.6, half: int = 2, rounds: int = 2) -> DataFrame:
-    """A lattice (j, i) without values that exceed their surroundings' median by more than above; twice over."""
+    """A lattice (j, i) whose values that exceed their surroundings' median by more than above go, twice over; then that median fills them."""
+    at = [*keys, "j", "i"]
+    out = df
     for _ in range(rounds):
-        d = F.explode(F.sequence(F.lit(-half), F.lit(half)))
-        near = df.where(F.col(value).isNotNull()).select(*keys, "j", "i", F.col(value).alias("_x")).select("*", d.alias("dj")).select("*", d.alias("di"))
-        mid = near.groupBy(*keys, (F.col("j") + F.col("dj")).alias("j"), (F.col("i") + F.col("di")).alias("i")).agg(F.median("_x").alias("_mid"))
-        df = df.join(mid, [*keys, "j", "i"], "left").withColumn(value, F.when(~(F.col(value) - F.col("_mid") > above), F.col(value))).drop("_mid")
-    return df
+        mid = surroundings_median(out, keys, value, half)
+        out = out.join(mid, at, "left").withColumn(value, F.when(F.coalesce(F.col(value) - F.col("mid") <= above, F.lit(True)), F.col(value))).drop("mid")
+    was = df.where(F.col(value).isNotNull()).select(*at, F.lit(True).alias("_was"))
+    filled = out.join(surroundings_median(out, keys, value, half), at, "left").join(was, at, "left")
+    return filled.withColumn(value, F.coalesce(value, F.when(F.col("_was"), F.col("mid")))).drop("mid", "_was")

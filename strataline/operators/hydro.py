@@ -36,17 +36,20 @@ def stability(levels: DataFrame, keys: list[str], p: str, sigma: str, least: int
 
 
 def mixed_layer(levels: DataFrame, keys: list[str], p: str, t: str, reference: float = 10.0, drop: float = 0.5) -> DataFrame:
-    """keys, mld, bottom: the first level below the reference that is colder than it by drop, without interpolation; else the deepest, flagged."""
+    """keys, mld, bottom: the first level below the reference that is colder than it by drop, without interpolation; else the deepest, flagged.
+
+    A profile that doesn't reach up to the reference has nothing to be colder than.
+    """
     rows = levels.where(F.col(t).isNotNull())
-    ref = at_level(rows, keys, p, t, reference).withColumnRenamed(t, "ref")
+    ref = at_level(rows, keys, p, t, reference, clamp=False).withColumnRenamed(t, "ref")
     out = rows.join(ref, keys).groupBy(*keys).agg(F.min(F.when((F.col(p) > reference) & (F.col(t) < F.col("ref") - drop), F.col(p))).alias("first"), F.max(p).alias("deepest"))
     return out.select(*keys, F.coalesce("first", "deepest").alias("mld"), F.col("first").isNull().alias("bottom"))
 
 
 def nearest_level(levels: DataFrame, keys: list[str], p: str, level: float) -> DataFrame:
     """Each key's row at the level nearest to the wanted one, the shallower of equally near ones."""
-    w = Window.partitionBy(*keys).orderBy(F.abs(F.col(p) - level), p)
-    return levels.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    best = levels.groupBy(*keys).agg(F.min_by(F.struct(*levels.columns), F.struct(F.abs(F.col(p) - level), F.col(p))).alias("_r"))
+    return best.select("_r.*")
 
 
 def layer_bounds(levels: DataFrame, keys: list[str], p: str) -> DataFrame:
@@ -67,10 +70,10 @@ def region_stats(metrics: DataFrame, keys: list[str], names: list[str], weight:
 
 
 def zero_crossings(df: DataFrame, keys: list[str], x: str, v: str) -> DataFrame:
-    """keys, at: where v changes its sign between neighbours in x, by linear interpolation."""
+    """keys, at: where v becomes positive or ceases to be between neighbours in x, by linear interpolation."""
     w = Window.partitionBy(*keys).orderBy(x)
     rows = df.where(F.col(v).isNotNull()).select(*keys, F.col(x).alias("x1"), F.col(v).alias("v1"), F.lag(x).over(w).alias("x0"), F.lag(v).over(w).alias("v0"))
-    return rows.where("v0 * v1 < 0").select(*keys, (F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("v0") / (F.col("v0") - F.col("v1"))).alias("at"))
+    return rows.where("(v0 > 0) <> (v1 > 0)").select(*keys, (F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("v0") / (F.col("v0") - F.col("v1"))).alias("at"))
 
 
 def strongest_axis(df: DataFrame, keys: list[str], x: str, speed: str, least: float = 0.5) -> DataFrame:

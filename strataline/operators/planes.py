@@ -23,8 +23,8 @@ def halves(windows_: DataFrame, least: int = 4) -> DataFrame:
 
 def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Of rows of equal keys the first in order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    best = df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_r"))
+    return best.select("_r.*")
 
 
 def to_plane(df: DataFrame, keys: list[str], place: list[str], value: Column) -> DataFrame:

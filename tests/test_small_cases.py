@@ -61,3 +61,52 @@ def test_small_expressions(spark):
         scalars.decoded_bytes(F.lit(50), 8.0, 10.0).alias("b"), scalars.decoded_bytes(F.lit(255), 8.0, 10.0).alias("gone"), scalars.rescaled(F.lit(30.0), F.lit(True)).alias("r"), scalars.quantised(F.lit(None).cast("double")).alias("q"),
     ).first()
     assert (r.e, r.s, r.near, r.b, r.gone, r.r, r.q) == (12.5, 200.0, None, 13.0, None, 35.0, -32768)
+
+
+def test_mixed_layer_needs_its_reference(spark):
+    rows = [("deep", p, t) for p, t in ((20.0, 20.0), (40.0, 15.0))] + [("whole", p, t) for p, t in ((0.0, 20.0), (20.0, 19.0), (40.0, 15.0))]
+    got = {r.k: (r.mld, r.bottom) for r in hydro.mixed_layer(spark.createDataFrame(rows, "k string, p double, t double"), ["k"], "p", "t").collect()}
+    assert got == {"deep": (40.0, True), "whole": (40.0, False)}
+
+
+def test_crossings_at_an_exact_zero(spark):
+    df = spark.createDataFrame([(0, float(x), v) for x, v in enumerate([1.0, 0.0, 0.0, 2.0, -2.0, None, -1.0])], "k int, x double, v double")
+    assert sorted(r.at for r in hydro.zero_crossings(df, ["k"], "x", "v").collect()) == [1.0, 2.0, 3.5]
+
+
+def test_cleaning_of_a_lattice(spark):
+    from strataline.operators import fishery
+
+    r = np.random.default_rng(3)
+    o = np.round(r.normal(size=(6, 7)), 3)
+    o[r.random((6, 7)) < 0.2] = np.nan
+    o[2, 3] = 9.0
+
+    def around(x):
+        p = np.pad(x, 2, mode="edge")
+        return np.array([[np.nanmedian(p[j : j + 5, i : i + 5]) for i in range(7)] for j in range(6)])
+
+    want = o.copy()
+    for _ in range(2):
+        want[want - around(want) > 0.6] = np.nan
+    fill = np.isfinite(o) & ~np.isfinite(want)
+    want[fill] = around(want)[fill]
+    df = spark.createDataFrame([(0, j, i, None if np.isnan(o[j, i]) else float(o[j, i])) for j in range(6) for i in range(7)], "k int, j int, i int, t double")
+    for x in fishery.cleaned(df, ["k"], "t").collect():
+        assert (x.t is None) == bool(np.isnan(want[x.j, x.i])) and (x.t is None or x.t == pytest.approx(want[x.j, x.i]))
+
+
+def test_shift_between_periods(spark):
+    from strataline.operators import fishery
+
+    rows = [(n, p, float(n * p % 7) if n != 3 else None, float((n * p) % 5)) for n in range(20) for p in (17, 18) if not (n == 4 and p == 18)] + [(50, 17, 1.0, 0.0), (50, 18, 2.0, 0.0)]
+    got = {r.n: r for r in fishery.period_shift(spark.createDataFrame(rows, "n int, p int, v double, w double"), ["n"], "p", 17, 18, "v", "w").collect()}
+    two = {n: [(v, w) for m, _, v, w in rows if m == n] for n in range(51)}
+    two = {n: x for n, x in two.items() if len(x) == 2}
+    sa, sb = (sum(x[k][1] for x in two.values()) for k in (0, 1))
+    assert got.keys() == {n for n, x in two.items() if x[0][1] > 0 or x[1][1] > 0} and 50 not in got and 4 not in got
+    for n, r in got.items():
+        assert r.dw == pytest.approx(two[n][1][1] / sb * 100 - two[n][0][1] / sa * 100) and (r.dv is None) == (n == 3)
+    (t,) = fishery.shift_correlation(fishery.period_shift(spark.createDataFrame(rows, "n int, p int, v double, w double"), ["n"], "p", 17, 18, "v", "w").withColumn("all", F.lit(0)), ["all"]).collect()
+    have = [r for r in got.values() if r.dv is not None]
+    assert t.n == len(have) and t.dmean == pytest.approx(sum(r.dv * r.w for r in have) / sum(r.w for r in have)) and 0 <= t.p <= 1
