@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import student_two_sided
-from . import spatial, stats
+from . import ranks, spatial, stats
 
 
 def skeleton(spark, nj: int, ni: int, periods: list[int]) -> DataFrame:
@@ -65,10 +65,9 @@ def corrected_correlation(df: DataFrame, keys: list[str], x: str, y: str, edges:
     """
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     rho = stats.spearman(rows, keys, x, y).where(F.col("n") >= least).select(*keys, "n", "rho")
-    ranked = rows.select(*keys, "lon", "lat", stats.average_rank(x, keys).alias("_rx"), stats.average_rank(y, keys).alias("_ry"))
-    mx = spatial.moran_bands(ranked, keys, "_rx", edges).select(*keys, "band", "pairs", F.col("i").alias("ix"))
-    my = spatial.moran_bands(ranked, keys, "_ry", edges).select(*keys, "band", F.col("i").alias("iy"))
-    v = mx.join(my, [*keys, "band"]).groupBy(*keys).agg(F.sum(F.col("pairs") * F.col("ix") * F.col("iy")).alias("s"))
+    ranked = ranks.with_rank(ranks.with_rank(rows.select(*keys, "lon", "lat", x, y), keys, x, "_rx"), keys, y, "_ry")
+    bands = spatial.band_products(ranked, keys, ["_rx", "_ry"], edges)
+    v = bands.groupBy(*keys).agg(F.sum(F.col("pairs") * F.col("i__rx") * F.col("i__ry")).alias("s"))
     out = rho.join(v, keys, "left")
     var = F.coalesce("s", F.lit(0.0)) / (F.col("n") * F.col("n")) + 1 / F.col("n")
     ne = F.least(F.col("n").cast("double"), F.greatest(F.lit(3.0), F.when(var > 0, 1 + 1 / var).otherwise(F.col("n"))))

@@ -6,26 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def average_rank(value: str, keys: list[str]) -> Column:
-    """Rank within keys; ties share the mean of their ranks."""
-    return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2
+from . import ranks
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, least: int = 4) -> DataFrame:
     """keys, n, rho, and the t statistic of n - 2 degrees of freedom."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = rows.select(*keys, average_rank(x, keys).alias("rx"), average_rank(y, keys).alias("ry"))
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    ranked = ranks.with_rank(ranks.with_rank(rows, keys, "_x", "rx"), keys, "_y", "ry")
     out = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry")).alias("rho"))
     out = out.withColumn("rho", F.when(F.col("n") >= least, F.col("rho")))
     return out.withColumn("t", F.try_divide(F.col("rho") * F.sqrt(F.col("n") - 2), F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("rho") * F.col("rho")))))
 
 
 def auc(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
-    """Area under the receiver's curve from average ranks; null without both labels."""
-    ranked = df.select(*keys, F.col(label).cast("int").alias("y"), average_rank(score, keys).alias("r"))
-    out = ranked.groupBy(*keys).agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"), F.sum(F.when(F.col("y") == 1, F.col("r"))).alias("s"))
-    return out.withColumn("auc", F.try_divide(F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2, F.col("n1") * F.col("n0")))
+    """keys, n1, n0, auc: area under the receiver's curve, ties counting half; null without both labels. Rows without a score don't count."""
+    y = F.col(label).cast("int")
+    counts = df.where(F.col(score).isNotNull() & y.isNotNull()).groupBy(*keys, F.col(score).alias("_s")).agg(F.sum(y).alias("c1"), F.sum(1 - y).alias("c0"))
+    out = ranks.running(counts, keys, "_s", ["c0"]).groupBy(*keys).agg(F.sum("c1").alias("n1"), F.sum("c0").alias("n0"), F.sum(F.col("c1") * (F.col("before_c0") + F.col("c0") / 2)).alias("s"))
+    return out.select(*keys, "n1", "n0", F.try_divide(F.col("s"), F.col("n1") * F.col("n0")).alias("auc"))
 
 
 def ols(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -52,11 +50,10 @@ def use_availability(df: DataFrame, keys: list[str], value: str, weight: str, st
 def order_statistics(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], rule: str = "floor_n") -> DataFrame:
     """Values at index floor(n p) ('floor_n'), round(p (n - 1)) ('round') or floor(p (n - 1)) ('floor') of the sorted values.
 
-    Equal values are counted first; a running count then finds the value at each index without gathering a group.
+    Equal values are counted first; running counts then find the value at each index.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*keys)
-    run = counts.withColumn("upto", F.sum("c").over(w.orderBy("v"))).withColumn("n", F.sum("c").over(w))
+    run = ranks.running(counts, keys, "v", ["c"]).withColumn("upto", F.col("before_c") + F.col("c")).withColumnRenamed("all_c", "n")
 
     def at(p: float) -> Column:
         n = F.col("n")

@@ -110,3 +110,41 @@ def test_shift_between_periods(spark):
     (t,) = fishery.shift_correlation(fishery.period_shift(spark.createDataFrame(rows, "n int, p int, v double, w double"), ["n"], "p", 17, 18, "v", "w").withColumn("all", F.lit(0)), ["all"]).collect()
     have = [r for r in got.values() if r.dv is not None]
     assert t.n == len(have) and t.dmean == pytest.approx(sum(r.dv * r.w for r in have) / sum(r.w for r in have)) and 0 <= t.p <= 1
+
+
+def test_ranks_and_running_sums(spark):
+    from strataline.operators import ranks
+
+    r = np.random.default_rng(1)
+    rows = [(k, float(v)) for k in (0, 1, None) for v in r.integers(0, 40, 200)] + [(2, 5.0)] * 500 + [(3, None)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    for k in (0, 1, None, 2):
+        vs = np.array([v for x, v in rows if x == k])
+        got = {x.v: (x.rank, x.n) for x in ranks.distinct_ranks(df, ["k"], "v").withColumnRenamed("count", "n").collect() if x.k == k}
+        assert got == {v: ((vs < v).sum() + ((vs == v).sum() + 1) / 2, (vs == v).sum()) for v in set(vs)}
+    out = ranks.with_rank(df, ["k"], "v", "r").collect()
+    assert len(out) == len(rows) and [x.r for x in out if x.k == 3] == [None] and {x.r for x in out if x.k == 2} == {250.5}
+    every = {x.v: x.rank for x in ranks.distinct_ranks(df, [], "v").collect()}
+    vs = np.array([v for _, v in rows if v is not None])
+    assert every[5.0] == (vs < 5).sum() + ((vs == 5).sum() + 1) / 2
+    assert ranks.with_rank(df.where("false"), ["k"], "v", "r").count() == 0
+
+
+def test_neighbours_as_by_all_pairs(spark):
+    from strataline.operators import spatial
+
+    r = np.random.default_rng(4)
+    km = lambda a, b: math.hypot((a[0] - b[0]) * math.cos(math.radians(25)), a[1] - b[1]) * 111.2
+    at = [(int(k % 2), float(x), float(y), float(v)) for k, (x, y, v) in enumerate(zip(r.uniform(100, 125, 160), r.uniform(-30, 60, 160), r.normal(size=160)))]
+    goals = [(0, 110.0, 20.0), (0, 110.1, 20.0), (1, 101.0, 59.0)]
+    df = spark.createDataFrame([*at, (2, 100.0, 0.0, 1.0)], "k int, lon double, lat double, v double")
+    t = spark.createDataFrame(goals, "k int, lon double, lat double")
+    for x in spatial.nearest_distance(df, t, ["k"]).collect():
+        want = [km((x.lon, x.lat), g[1:]) for g in goals if g[0] == x.k]
+        assert (x.km is None and x.k == 2) or x.km == pytest.approx(min(want))
+    edges = [0.0, 200.0, 500.0, 900.0]
+    for x in spatial.moran_bands(df, ["k"], "v", edges).collect():
+        mine = [a for a in at if a[0] == x.k]
+        z = np.array([a[3] for a in mine]) - np.mean([a[3] for a in mine])
+        pairs = [z[i] * z[j] for i, a in enumerate(mine) for j, b in enumerate(mine) if edges[x.band] < km(a[1:3], b[1:3]) <= edges[x.band + 1]]
+        assert x.pairs == len(pairs) and x.i == pytest.approx(np.mean(pairs) / np.mean(z * z))
