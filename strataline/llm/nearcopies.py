@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, written
+from .common import cut, discard, fresh, written
 from .components import components
 
 WORDS_EACH, AT_LEAST = 5, Fraction(4, 5)
@@ -72,7 +72,8 @@ def with_set(docs: DataFrame, text_col: str, out_col: str) -> DataFrame:
             names = np.array([set_name(shingles(t or b"")) for t in b[b.schema.names[-1]].to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.int64())], names=[*b.schema.names[:-1], out_col])
 
-    return docs.select("*", F.col(text_col).cast("binary").alias(f"{out_col}_bytes")).mapInArrow(run, docs.select("*").schema.add(out_col, "long"))
+    (raw,) = fresh(docs, f"{out_col}_bytes")
+    return docs.select("*", F.col(text_col).cast("binary").alias(raw)).mapInArrow(run, docs.select("*").schema.add(out_col, "long"))
 
 
 def _sets(texts: DataFrame) -> DataFrame:
