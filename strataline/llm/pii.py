@@ -45,21 +45,69 @@ CUES = {
 CUE_GAIN = 0.15
 #: Code points looked at before a span, and the least score of an added span.
 NEAR, LEAST = 32, 0.5
+#: Code points of the pieces that texts are cut into.
+CHUNK = 1024
 
 _FOUND = "array<struct<start:bigint,end:bigint,found:string>>"
 
 
+def _bound(value: Column, body) -> Column:
+    """body of a value that is computed once, not again for each element of what body maps over."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _upto(n: Column) -> Column:
+    """0 to n - 1."""
+    return F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: i < n)
+
+
+def _running(values: Column, join, zero: Column) -> Column:
+    """What join makes of all values before each one. In blocks of about the root of their number, as arrays can't grow in place."""
+
+    def whole(v: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1))
+        blocks = F.transform(_upto(F.ceil(F.size(v) / width).cast("int")), lambda b: F.slice(v, b * width + 1, width))
+
+        def of(parts: Column) -> Column:
+            sums = F.transform(parts, lambda p: F.aggregate(p, zero, join))
+            return _bound(sums, lambda t: F.flatten(F.transform(parts, lambda p, b: _within(p, F.aggregate(F.slice(t, F.lit(1), b), zero, join)))))
+
+        def _within(p: Column, before: Column) -> Column:
+            return _bound(before, lambda x: F.transform(p, lambda _, i: F.aggregate(F.slice(p, F.lit(1), i), x, join)))
+
+        return _bound(blocks, of)
+
+    return _bound(values, whole)
+
+
+def _added(acc: Column, x: Column) -> Column:
+    return acc + x
+
+
+def _chunks(text: Column) -> Column:
+    """A text in pieces of CHUNK code points, so that a part of it is found without walking from its beginning."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def _part(chunks: Column, start: Column, length: Column) -> Column:
+    """length code points from start (0 is the first)."""
+    first = F.floor(start / CHUNK).cast("int")
+    many = F.floor((start + length) / CHUNK).cast("int") - first + 1
+    return F.substr(F.array_join(F.slice(chunks, first + 1, many), ""), (start - first * CHUNK + 1).cast("int"), length.cast("int"))
+
+
 def _located(text: Column, matches: Column, pattern: str) -> Column:
-    between = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_FOUND).alias("out"))
+    """Where the matches stand: each begins after all matches and pieces before it and its own piece."""
+    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x).cast("long"))
+    sizes = F.transform(matches, lambda m: F.length(m).cast("long"))
 
-    def step(acc: Column, i: Column) -> Column:
-        m = F.get(matches, i)
-        begin = acc["at"] + F.length(F.get(between, i))
-        end = begin + F.length(m)
-        return F.struct(end.cast("long").alias("at"), F.concat(acc["out"], F.array(F.struct(begin.cast("long").alias("start"), end.cast("long").alias("end"), m.alias("found")))).cast(_FOUND).alias("out"))
+    def spans(g: Column) -> Column:
+        before = _running(F.zip_with(g, sizes, lambda x, y: x + F.coalesce(y, F.lit(0))), _added, F.lit(0).cast("long"))
+        starts = F.zip_with(g, before, lambda x, y: x + y)
+        found = F.zip_with(starts, matches, lambda x, m: F.struct(x.alias("start"), (x + F.length(m)).cast("long").alias("end"), m.alias("found")))
+        return F.filter(found, lambda s: s["found"].isNotNull()).cast(_FOUND)
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, step)["out"]
+    return _bound(gaps, spans)
 
 
 def luhn(digits: Column) -> Column:
@@ -84,14 +132,14 @@ def mod97(account: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), step) == 1
 
 
-def _accounts(text: Column, starts: Column) -> Column:
+def _accounts(chunks: Column, starts: Column) -> Column:
     """Spans of account numbers: from each start the longest run of 15 to 34 signs that ends a word and has right check digits.
 
     Of spans that overlap the first stays.
     """
 
     def longest(s: Column) -> Column:
-        ahead = F.substr(text, (s["start"] + 1).cast("int"), F.lit(2 * ACCOUNT_MOST - 4 + 1))
+        ahead = _part(chunks, s["start"], F.lit(2 * ACCOUNT_MOST - 4 + 1))
         run = F.regexp_extract(ahead, ACCOUNT, 0)
 
         def fits(e: Column) -> Column:
@@ -102,11 +150,14 @@ def _accounts(text: Column, starts: Column) -> Column:
         end = F.get(F.filter(F.sequence(F.length(run), F.lit(ACCOUNT_LEAST), F.lit(-1)), fits), F.lit(0))
         return F.struct(s["start"].alias("start"), (s["start"] + end).alias("end"), F.substr(run, F.lit(1), end).alias("found"))
 
-    def step(acc: Column, s: Column) -> Column:
-        apart = s["end"].isNotNull() & (s["start"] >= F.coalesce(F.get(acc, F.size(acc) - 1)["end"], F.lit(0)))
-        return F.when(apart, F.concat(acc, F.array(s)).cast(_FOUND)).otherwise(acc)
+    whole = F.filter(F.transform(starts, longest).cast(_FOUND), lambda s: s["end"].isNotNull())
+
+    def first_ones(spans: Column) -> Column:
+        # an account is at most 64 code points long, so that a chain of overlaps is followed among few
+        keep = F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.lit("1")).alias("out"))).otherwise(F.struct(acc["at"].alias("at"), F.concat(acc["out"], F.lit("0")).alias("out"))))["out"]
+        return _bound(F.split(keep, ""), lambda k: F.filter(spans, lambda s, i: F.get(k, i) == "1"))
 
-    return F.aggregate(F.transform(starts, longest).cast(_FOUND), F.array().cast(_FOUND), step)
+    return _bound(whole, first_ones)
 
 
 def _valid(kind: str, found: Column) -> Column:
@@ -127,9 +178,9 @@ def _confirmed(kind: str):
     return lambda s: _valid(kind, s["found"])
 
 
-def _scored(kind: str, text: Column):
+def _scored(kind: str, chunks: Column):
     def dressed(s: Column) -> Column:
-        before = F.lower(F.substr(text, F.greatest(s["start"] - NEAR, F.lit(0)).cast("int") + 1, F.least(s["start"], F.lit(NEAR)).cast("int")))
+        before = F.lower(_part(chunks, F.greatest(s["start"] - NEAR, F.lit(0)), F.least(s["start"], F.lit(NEAR))))
         score = F.lit(PRIOR[kind]) + F.when(before.rlike(CUES[kind]), CUE_GAIN).otherwise(0.0)
         rank = (BASE + ADDED).index(kind)
         return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), F.lit(kind in BASE).alias("base"), score.alias("score"), s["found"].alias("found"))
@@ -149,19 +200,19 @@ def find_pii(docs: DataFrame, text_col: str = "text", out_col: str = "pii") -> D
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     kinds = BASE + ADDED
-    whole, *found = fresh(docs, "pii_text", *(f"pii_{k}" for k in kinds))
-    df = docs.withColumn(whole, text)
+    whole, pieces, *found = fresh(docs, "pii_text", "pii_pieces", *(f"pii_{k}" for k in kinds))
+    df = docs.withColumn(whole, text).withColumn(pieces, _chunks(F.col(whole)))
     df = df.withColumns({c: (F.when(F.contains(F.col(whole), F.lit(HINTS[k])), x).otherwise(F.array().cast("array<string>")) if k in HINTS else x) for k, c in zip(kinds, found) for x in [F.regexp_extract_all(F.col(whole), F.lit(PATTERNS[k]), F.lit(0))]})
     per_kind = []
     for k, c in zip(kinds, found):
         located = _located(F.col(whole), F.col(c), PATTERNS[k])
-        confirmed = _accounts(F.col(whole), located) if k == "iban" else F.filter(located, _confirmed(k))
-        spans = F.transform(confirmed, _scored(k, F.col(whole)))
+        confirmed = _accounts(F.col(pieces), located) if k == "iban" else F.filter(located, _confirmed(k))
+        spans = F.transform(confirmed, _scored(k, F.col(pieces)))
         kind_type = "array<struct<start:bigint,rank:int,end:bigint,kind:string,base:boolean,score:double,found:string>>"
         per_kind.append(F.when(F.size(F.col(c)) > 0, spans.cast(kind_type)).otherwise(F.array().cast(kind_type)))
     every = F.filter(F.array_sort(F.concat(*per_kind)), lambda s: s["base"] | (s["score"] >= LEAST))
     final = F.transform(every, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"), s["score"].alias("score"), s["found"].alias("found")))
-    return df.withColumn(out_col, final).drop(whole, *found)
+    return df.withColumn(out_col, final).drop(whole, pieces, *found)
 
 
 def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -172,14 +223,15 @@ def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     (spans,) = fresh(docs, "pii_spans")
     df = find_pii(docs, text_col, spans)
     text = F.col(text_col)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substr(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        fresh_span = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh_span, F.concat(acc["out"], gap, F.lit("<"), s["kind"], F.lit(">"))).otherwise(acc["out"]).alias("out"))
+    def masked_from(chunks: Column) -> Column:
+        # how far the spans before each one reach; what overlaps them has no name of its own
+        reach = _running(F.transform(F.col(spans), lambda s: s["end"].cast("long")), lambda acc, x: F.greatest(acc, x), F.lit(0).cast("long"))
+        named = F.zip_with(F.col(spans), reach, lambda s, r: F.when(s["start"] >= r, F.concat(_part(chunks, r, s["start"] - r), F.lit("<"), s["kind"], F.lit(">"))).otherwise(""))
+        last = F.array_max(F.transform(F.col(spans), lambda s: s["end"]))
+        return F.concat(F.array_join(named, ""), F.substr(text, (last + 1).cast("int")))
 
-    masked = F.aggregate(F.col(spans), zero, step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"))))
+    masked = _bound(_chunks(text), masked_from)
     df = df.withColumn(text_col, F.when(F.size(F.col(spans)) > 0, masked).otherwise(text))
     if "n_chars" in docs.columns:
         df = df.withColumn("n_chars", F.when(F.size(F.col(spans)) > 0, F.length(F.col(text_col)).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
