@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import student_two_sided
 from . import ranks, spatial, stats
+from .steps import settled
 
 
 def skeleton(spark, nj: int, ni: int, periods: list[int]) -> DataFrame:
@@ -126,3 +127,24 @@ def cleaned(df: DataFrame, keys: list[str], value: str, above: float = 0.6, half
     was = df.where(F.col(value).isNotNull()).select(*at, F.lit(True).alias("_was"))
     filled = out.join(surroundings_median(out, keys, value, half), at, "left").join(was, at, "left")
     return filled.withColumn(value, F.coalesce(value, F.when(F.col("_was"), F.col("mid")))).drop("mid", "_was")
+
+
+def conditions_experienced(df: DataFrame, keys: list[str], values: list[str], weight: str) -> DataFrame:
+    """keys, variable, use, avail: mean of each variable by weight, what the activity meets, and the plain mean, what there is.
+
+    Rows without the variable don't count; keys without any weight have no row.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("x")) for v in values])).alias("_v")
+    rows = df.select(*keys, F.col(weight).alias("_w"), pairs).where("_v.x IS NOT NULL")
+    out = rows.groupBy(*keys, "_v.variable").agg(F.sum("_w").alias("_s"), F.sum(F.col("_v.x") * F.col("_w")).alias("_xw"), F.avg("_v.x").alias("avail"))
+    return out.where("_s > 0").select(*keys, "variable", (F.col("_xw") / F.col("_s")).alias("use"), "avail")
+
+
+def trend_diagnostics(trends: DataFrame, metrics: DataFrame, key: str, trend: str, values: list[str], least: int = 5) -> DataFrame:
+    """metric, n, rho, p, slope, intercept: rank correlation and least-squares line of regions' trend over each metric."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("x")) for v in values])).alias("_v")
+    rows = trends.select(key, F.col(trend).alias("y")).join(metrics, key).select("y", pairs).select("y", "_v.metric", "_v.x").where("x IS NOT NULL AND y IS NOT NULL")
+    rows = settled(rows)  # ranks and lines read it several times
+    rank = stats.spearman(rows, ["metric"], "x", "y").where(F.col("n") >= least)
+    t = F.abs("rho") * F.sqrt((F.col("n") - 2) / F.greatest(F.lit(1e-12), 1 - F.col("rho") * F.col("rho")))
+    return rank.join(stats.ols(rows, ["metric"], "x", "y").drop("n"), "metric").select("metric", "n", "rho", student_two_sided(t, (F.col("n") - 2).cast("double")).alias("p"), "slope", "intercept")
