@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, others
+from .common import fresh, only, others
 
 #: Words that are looked at together, and words that a Python worker remembers.
 WORDS_AT_ONCE, REMEMBERED = 250_000, 500_000
@@ -123,6 +123,7 @@ _OPEN: dict[str, Words] = {}
 
 def words_of(ranks_path: str) -> Words:
     """The worker's own Words: what its earlier tasks have learnt stays known."""
+    only("bytebpe", _OPEN)
     if ranks_path not in _OPEN:
         _OPEN[ranks_path] = Words(read_ranks(ranks_path))
     return _OPEN[ranks_path]

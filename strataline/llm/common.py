@@ -94,3 +94,22 @@ def join_split(rows: DataFrame, keys: DataFrame, on: list[str], many: str, total
     heavy = F.broadcast(keys.where(hot))
     few = F.broadcast(keys.where(hot).select(*on))
     return rows.join(heavy, on).unionByName(rows.join(few, on, "left_anti").join(keys.where(~hot), on))
+
+
+_STORES: dict[str, dict] = {}
+
+
+def only(owner: str, store: dict | None = None) -> None:
+    """In a Python worker: what other operators' tasks left in its memory goes, so that one at a time remembers words there."""
+    for name, other in _STORES.items():
+        if name != owner:
+            other.clear()
+    if store is not None:
+        _STORES[owner] = store
+
+
+def slices(batches, rows: int = 256):
+    """Arrow batches in parts of few rows, for what turns them into Python objects."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)

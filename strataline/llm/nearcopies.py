@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, fresh, written
+from .common import cut, discard, fresh, only, slices, written
 from .components import components
 
 WORDS_EACH, AT_LEAST = 5, Fraction(4, 5)
@@ -80,7 +80,8 @@ def _sets(texts: DataFrame) -> DataFrame:
     """From sid, text: sid, n (shingles), sketch and wide (bytes)."""
 
     def run(batches):
-        for b in batches:
+        only("nearcopies")
+        for b in slices(batches):
             own = [shingles(t or b"") for t in b["text"].to_pylist()]
             sketch = [sketch_of(x, 64 * SKETCH) for x in own]
             wide = [sketch_of(x, max(64 * SKETCH, 1 << (2 * len(x) - 1).bit_length())) for x in own]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, only
 
 UNIT = 16
 #: Words, and runs within words, whose ids a generation of a Python worker remembers.
@@ -196,6 +196,7 @@ _OPEN: dict[str, Ids] = {}
 
 def ids_of(path: str) -> Ids:
     """The worker's own Ids: what its earlier tasks have met stays known."""
+    only("packing", _OPEN)
     if path not in _OPEN:
         _OPEN[path] = Ids(path)
     return _OPEN[path]

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, join_split, whole_id, written
+from .common import discard, join_split, only, slices, whole_id, written
 
 GRAM, REACH, SPLIT = 8, 64, 16
 #: Positions whose triggers are sought in one array.
@@ -82,7 +82,8 @@ def _parse(texts: DataFrame, least: int) -> DataFrame:
     core = least - min(REACH, least - GRAM + 1) + 1
 
     def run(batches):
-        for b in batches:
+        only("suffixdedup")
+        for b in slices(batches):
             for d, tie, raw in zip(b["d"].to_pylist(), b["tie"].to_pylist(), b["raw"].to_pylist()):
                 first, last, at = phrases(raw, least)
                 for a in range(0, len(first), BLOCK):
@@ -106,7 +107,8 @@ def _pieces(texts: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
 
     def run(batches):
         digest = xxhash.xxh3_64_intdigest
-        for b in batches:
+        only("suffixdedup")
+        for b in slices(batches):
             for d, tie, raw, own in zip(*(b[c].to_pylist() for c in ("d", "tie", "raw", "own"))):
                 core, whole, place, held = [], [], [], []
                 for p in own:
@@ -228,7 +230,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text_type = docs.schema[text_col].dataType
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             kept = [_kept(r, s).decode("utf-8", "ignore") if s else None for r, s in zip(b["raw"].to_pylist(), b["spans"].to_pylist())]
             yield pa.RecordBatch.from_arrays([b["row"], pa.array(kept, pa.string())], names=["row", "kept"])
 
@@ -246,7 +248,7 @@ def repeats_digest(docs: DataFrame, least: int = 100) -> DataFrame:
     named, spans = repeated_spans(docs.select("doc_id", "text"), "doc_id", "text", least)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = list(zip(b["raw"].to_pylist(), b["spans"].to_pylist()))
             gone = [sum(p["e"] - p["s"] for p in s or ()) for _, s in rows]
             yield pa.RecordBatch.from_arrays(

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, others
+from .common import fresh, only, others
 from .learn import fold, labelled_rows, trained
 
 DECAY, SPAN, POWER = 0.8, 6, 2
@@ -329,6 +329,7 @@ _KNOWN: dict[str, dict[str, float]] = {}
 
 def worst_sentences(texts: Iterable[str | None], model: Model) -> list[float]:
     """The worst sentence of each text. A worker remembers words for its later tasks, of one model."""
+    only("toxicity", _KNOWN)
     if model.name not in _KNOWN:
         _KNOWN.clear()
         _KNOWN[model.name] = {}
