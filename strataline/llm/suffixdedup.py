@@ -83,7 +83,7 @@ def _parse(texts: DataFrame, least: int) -> DataFrame:
 
     def run(batches):
         only("suffixdedup")
-        for b in slices(batches):
+        for b in batches:
             for d, tie, raw in zip(b["d"].to_pylist(), b["tie"].to_pylist(), b["raw"].to_pylist()):
                 first, last, at = phrases(raw, least)
                 for a in range(0, len(first), BLOCK):
@@ -230,7 +230,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text_type = docs.schema[text_col].dataType
 
     def run(batches):
-        for b in slices(batches):
+        for b in batches:
             kept = [_kept(r, s).decode("utf-8", "ignore") if s else None for r, s in zip(b["raw"].to_pylist(), b["spans"].to_pylist())]
             yield pa.RecordBatch.from_arrays([b["row"], pa.array(kept, pa.string())], names=["row", "kept"])
 
@@ -248,7 +248,7 @@ def repeats_digest(docs: DataFrame, least: int = 100) -> DataFrame:
     named, spans = repeated_spans(docs.select("doc_id", "text"), "doc_id", "text", least)
 
     def run(batches):
-        for b in slices(batches):
+        for b in batches:
             rows = list(zip(b["raw"].to_pylist(), b["spans"].to_pylist()))
             gone = [sum(p["e"] - p["s"] for p in s or ()) for _, s in rows]
             yield pa.RecordBatch.from_arrays(
