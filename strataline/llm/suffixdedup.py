@@ -24,6 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 (pa.compute)
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,43 +35,65 @@ from .common import discard, join_split, only, slices, whole_id, written
 GRAM, REACH, SPLIT = 8, 64, 16
 #: Positions whose triggers are sought in one array.
 BLOCK = 1 << 16
+#: Bytes of texts that are parsed in one array.
+JOINED = 1 << 18
 NO_ID = -(1 << 63)
 _PLACE = ["d", "tie", "x"]
 
 
-def phrases(raw: bytes, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First start, last start and trigger of each phrase of a text; a text of fewer than least bytes has none."""
+def phrases(raw: bytes, least: int, ends: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First start, last start and trigger of each phrase of the texts that end at ends in raw (one text, unless given).
+
+    A text of fewer than least bytes has none. A trigger lies within its string, so that what follows a text changes none of its phrases.
+    """
     n = len(raw) - least + 1
     if n <= 0:
         return (np.zeros(0, np.int64),) * 3
-    b = np.frombuffer(raw, np.uint8)
     reach = min(REACH, least - GRAM + 1)
-    grams = np.zeros(n + reach - 1, np.uint64)
-    for k in range(GRAM):
-        grams |= b[k : k + len(grams)].astype(np.uint64) << np.uint64(8 * k)
-    grams *= np.uint64(0x9E3779B97F4A7C15)
+    grams = np.ndarray((n + reach - 1,), "<u8", raw, strides=(1,)) * np.uint64(0x9E3779B97F4A7C15)
     grams ^= grams >> np.uint64(29)
     grams *= np.uint64(0xBF58476D1CE4E5B9)
-    grams = (grams >> np.uint64(32)).astype(np.uint32)
+    grams &= np.uint64(0xFFFFFFFF << 32)
     trigger = np.empty(n, np.int64)
     for a in range(0, n, BLOCK):
         # hash and place in one number; minima of windows from running minima of rows of reach numbers, forth and back
         part = grams[a : min(n, a + BLOCK) + reach - 1]
         many = len(part) - reach + 1
         both = np.full(-(-len(part) // reach) * reach, -1, np.int64).view(np.uint64)
-        both[: len(part)] = part.astype(np.uint64) << np.uint64(32) | np.arange(len(part), dtype=np.uint64)
+        both[: len(part)] = part | np.arange(len(part), dtype=np.uint64)
         rows = both.reshape(-1, reach)
         forth, back = np.minimum.accumulate(rows, axis=1).ravel(), np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
         least_of = np.minimum(back[:many], forth[reach - 1 : reach - 1 + many])
         trigger[a : a + many] = (least_of & np.uint64(0xFFFFFFFF)).astype(np.int64) + a
-    first = np.flatnonzero(np.r_[True, trigger[1:] != trigger[:-1]])
-    return first, np.r_[first[1:], n] - 1, trigger[first]
+    own = np.ones(n, bool)
+    for e in (ends or [])[:-1]:
+        own[max(0, e - least + 1) : e] = False
+    first = np.flatnonzero(np.r_[True, (trigger[1:] != trigger[:-1]) | (own[1:] != own[:-1])])
+    last, own = np.r_[first[1:], n] - 1, own[first]
+    return first[own], last[own], trigger[first[own]]
+
+
+def _joined(batches):
+    """Batches in runs of rows whose raw are JOINED bytes in all or one row: d, tie, the bytes in one and where each row's end."""
+    for b in batches:
+        ends = np.cumsum(pa.compute.binary_length(b["raw"]).to_numpy(zero_copy_only=False), dtype=np.int64)
+        a = 0
+        while a < b.num_rows:
+            before = ends[a - 1] if a else 0
+            z = max(a + 1, int(np.searchsorted(ends, before + JOINED, side="right")))
+            rows = b.slice(a, z - a)
+            yield rows["d"], rows["tie"], b"".join(rows["raw"].to_pylist()), (ends[a:z] - before)
+            a = z
 
 
 def _signed(x: list[int]) -> pa.Array:
     return pa.array(np.array(x, np.uint64).view(np.int64))
 
 
+def _hashes(digests: list[bytes]) -> pa.Array:
+    return pa.array(np.frombuffer(b"".join(digests), ">i8").astype(np.int64))
+
+
 def _key(docs: DataFrame, id_col: str, text: Column, repeated: bool) -> list[Column]:
     """What names a text: its id, and a hash where ids repeat. A null id comes first."""
     tie = F.xxhash64(text) if repeated else F.lit(0).cast("long")
@@ -82,20 +105,22 @@ def _parse(texts: DataFrame, least: int) -> DataFrame:
     core = least - min(REACH, least - GRAM + 1) + 1
 
     def run(batches):
+        digest = xxhash.xxh3_64_digest
         only("suffixdedup")
-        for b in batches:
-            for d, tie, raw in zip(b["d"].to_pylist(), b["tie"].to_pylist(), b["raw"].to_pylist()):
-                first, last, at = phrases(raw, least)
-                for a in range(0, len(first), BLOCK):
-                    f, z, t = first[a : a + BLOCK].tolist(), last[a : a + BLOCK].tolist(), at[a : a + BLOCK].tolist()
-                    digest = xxhash.xxh3_64_intdigest
-                    key = _signed([digest(raw[i : i + core], 1) for i in t])
-                    e = _signed([digest(raw[i : j + least], 2) for i, j in zip(f, z)])
-                    n = len(f)
-                    yield pa.RecordBatch.from_arrays(
-                        [key, e, pa.array([d] * n, pa.int64()), pa.array([tie] * n, pa.int64()), pa.array(f, pa.int32()), pa.array([j - i + 1 for i, j in zip(f, z)], pa.int16()), pa.array([k - i for i, k in zip(f, t)], pa.int16())],
-                        names=["key", "e", "d", "tie", "x", "n", "t"],
-                    )
+        for d, tie, raw, ends in _joined(batches):
+            first, last, at = phrases(raw, least, ends.tolist())
+            of = np.searchsorted(ends, first, side="right")
+            x = first - np.r_[0, ends][of]
+            for a in range(0, len(first), BLOCK):
+                cut = slice(a, a + BLOCK)
+                f, z, t = first[cut], last[cut], at[cut]
+                key = _hashes([digest(raw[i : i + core], 1) for i in t.tolist()])
+                e = _hashes([digest(raw[i:j], 2) for i, j in zip(f.tolist(), (z + least).tolist())])
+                rows = pa.array(of[cut])
+                yield pa.RecordBatch.from_arrays(
+                    [key, e, d.take(rows), tie.take(rows), pa.array(x[cut].astype(np.int32)), pa.array((z - f + 1).astype(np.int16)), pa.array((t - f).astype(np.int16))],
+                    names=["key", "e", "d", "tie", "x", "n", "t"],
+                )
 
     return texts.mapInArrow(run, "key long, e long, d long, tie long, x int, n short, t short")
 
