@@ -101,3 +101,19 @@ def rescaled(v: Column, when: Column) -> Column:
 def decoded_bytes(q: Column, add: float, by: float) -> Column:
     """One byte of fixed point: add + q / by; 255 is missing."""
     return F.when(q != 255, add + q / by)
+
+
+def ramp(x: Column, stops: list[tuple[int, int, int]]) -> list[Column]:
+    """Red, green and blue at x from 0 to 1 (beyond: the end's) along colours of equal distances, as whole numbers, halves up."""
+    last = len(stops) - 1
+    at = F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)) * last
+    k = F.least(F.floor(at), F.lit(last - 1)).cast("int")
+    channel = lambda c: F.array(*[F.lit(float(s[c])) for s in stops])
+    return [F.floor(F.get(channel(c), k) + (F.get(channel(c), k + 1) - F.get(channel(c), k)) * (at - k) + 0.5).cast("int") for c in range(3)]
+
+
+def nearest_colour(rgb: list[Column], palette: list[tuple[int, int, int]], near: float = 18.0, saturation: int = 100) -> Column:
+    """Index of the palette's nearest colour, the first of equally near ones; null where none is near or the colour is dull."""
+    d = [sum(((a - b) * (a - b) for a, b in zip(rgb, p)), F.lit(0)) for p in palette]
+    best = F.array_min(F.array(*[F.struct(x.alias("d"), F.lit(k).alias("k")) for k, x in enumerate(d)]))
+    return F.when((best["d"] < near * near) & (F.greatest(*rgb) - F.least(*rgb) > saturation), best["k"])
