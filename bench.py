@@ -7,7 +7,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from strataline.plans import atlas, charts, climate, diagnostics, models, ocean, registry  # noqa: F401 (these fill the registry)
+from strataline.plans import atlas, charts, climate, diagnostics, models, ocean, registry, usage  # noqa: F401 (these fill the registry)
 
 
 def main() -> None:

@@ -40,3 +40,9 @@ def exceedance_rate(df: DataFrame, keys: list[str], value: str, least: int = 300
     """Days above thr in a year of 365.25 days, from those with a value and a threshold."""
     valid = F.count_if(F.col(value).isNotNull() & F.col("thr").isNotNull())
     return df.groupBy(*keys).agg(valid.alias("n"), F.when(valid > least, F.count_if(F.col(value) > F.col("thr")) / valid * 365.25).alias("days_per_year"))
+
+
+def on_days(df: DataFrame, events: DataFrame, keys: list[str], day: str) -> DataFrame:
+    """df with event, the first day of the event that a day lies in, null outside; events of a key don't overlap."""
+    own = events.select(*keys, F.col("start").alias("event"), F.explode(F.sequence("start", "stop", F.expr("interval 1 day"))).alias(day))
+    return df.join(own, [*keys, day], "left")

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from strataline.plans import atlas, charts, climate, diagnostics, models, ocean, registry  # noqa: F401 (these fill the registry)
+from strataline.plans import atlas, charts, climate, diagnostics, models, ocean, registry, usage  # noqa: F401 (these fill the registry)
 
 DATA = "/root/testdata/sf0.001"
 
