@@ -199,6 +199,21 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame
     return out
 
 
+def _further(tied: DataFrame, links: DataFrame) -> DataFrame:
+    """node, component of all links together, where tied (node, component) are already known: only links between components count."""
+    one, two = (tied.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")) for c in ("a", "b"))
+    between = links.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).where("a <> b").distinct()
+    more = written(components(between))
+    roots = more.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    return tied.join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component")).unionAll(more)
+
+
+def _tied(links: DataFrame) -> DataFrame:
+    """node, component of links a < b: first those of each node's link to its smallest, one a node, then what is left between them."""
+    hooks = links.groupBy("b").agg(F.min("a").alias("a"))
+    return _further(written(components(hooks)), links)
+
+
 def similar_components(texts: DataFrame, proposed: DataFrame) -> DataFrame:
     """node, component over sid, text (each sid once): for each sid but the smallest of its component, that smallest.
 
@@ -214,7 +229,7 @@ def similar_components(texts: DataFrame, proposed: DataFrame) -> DataFrame:
     long_enough = F.col("f.n") * AT_LEAST.denominator >= F.col("n") * AT_LEAST.numerator
     stars = met.join(smallest, "key").where((F.col("f.sid") != F.col("sid")) & long_enough).select(F.least("f.sid", "sid").alias("a"), F.greatest("f.sid", "sid").alias("b"))
     first = _confirmed(stars.unionAll(proposed), sets, texts)
-    tied = components(first)
+    tied = written(_tied(first))
     named = met.join(tied, met.sid == tied.node, "left").select("key", "n", "pos", "sid", F.coalesce("component", "sid").alias("comp"))
     split = named.groupBy("key").agg((F.min("comp") != F.max("comp")).alias("split")).where("split").select("key")
     left = named.join(split, "key").join(sets.select("sid", "sketch"), "sid").select("key", "n", "pos", "sid", "comp", "sketch")
@@ -222,4 +237,4 @@ def similar_components(texts: DataFrame, proposed: DataFrame) -> DataFrame:
     second = _confirmed(tried, sets, texts)
     discard(met)
     discard(sets)
-    return components(first.unionAll(second))
+    return _further(tied, second)

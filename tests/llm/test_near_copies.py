@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from strataline.llm import simhash
+from strataline.llm import nearcopies, simhash
 
 
 def jaccard_set(text):
@@ -48,3 +48,20 @@ def test_one_row_of_each_group(spark, common):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     kept = sorted(r.doc_id for r in simhash.one_of_each(df).collect())
     assert kept == sorted(set(root))
+
+
+@pytest.mark.parametrize("n, links", [(40, 30), (60, 90), (30, 0), (25, 200)])
+def test_components_through_hooks_are_those_of_all_links(spark, n, links):
+    rng = random.Random(n)
+    pairs = [tuple(sorted(rng.sample(range(n), 2))) for _ in range(links)]
+    root = list(range(n))
+    for a, b in pairs:
+        x, y = root[a], root[b]
+        root = [min(x, y) if r in (x, y) else r for r in root]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    half = len(pairs) // 2
+    tied = nearcopies._tied(df)
+    first = nearcopies._tied(spark.createDataFrame(pairs[:half], "a long, b long"))
+    both = nearcopies._further(first, spark.createDataFrame(pairs[half:], "a long, b long"))
+    want = {k: r for k, r in enumerate(root) if k != r}
+    assert {r.node: r.component for r in tied.collect()} == want == {r.node: r.component for r in both.collect()}
