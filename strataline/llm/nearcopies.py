@@ -199,19 +199,28 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame
     return out
 
 
+def _between(tied: DataFrame, links: DataFrame) -> DataFrame:
+    """a, b, ca, cb: the links between different components of tied (node, component), with their names."""
+    one, two = (tied.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")) for c in ("a", "b"))
+    return links.join(one, "a", "left").join(two, "b", "left").select("a", "b", F.coalesce("_a", "a").alias("ca"), F.coalesce("_b", "b").alias("cb")).where("ca <> cb")
+
+
 def _further(tied: DataFrame, links: DataFrame) -> DataFrame:
     """node, component of all links together, where tied (node, component) are already known: only links between components count."""
-    one, two = (tied.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")) for c in ("a", "b"))
-    between = links.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).where("a <> b").distinct()
+    between = _between(tied, links).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
     more = written(components(between))
     roots = more.select(F.col("node").alias("component"), F.col("component").alias("root"))
     return tied.join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component")).unionAll(more)
 
 
+def _hooks(links: DataFrame) -> DataFrame:
+    """Of links a < b one for each b, that to its smallest a."""
+    return links.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+
+
 def _tied(links: DataFrame) -> DataFrame:
-    """node, component of links a < b: first those of each node's link to its smallest, one a node, then what is left between them."""
-    hooks = links.groupBy("b").agg(F.min("a").alias("a"))
-    return _further(written(components(hooks)), links)
+    """node, component of links a < b: first those of each node's hook, then what is left between them."""
+    return _further(written(components(_hooks(links))), links)
 
 
 def similar_components(texts: DataFrame, proposed: DataFrame) -> DataFrame:
@@ -228,13 +237,19 @@ def similar_components(texts: DataFrame, proposed: DataFrame) -> DataFrame:
     smallest = met.groupBy("key").agg(F.min(F.struct("n", "sid")).alias("f"))
     long_enough = F.col("f.n") * AT_LEAST.denominator >= F.col("n") * AT_LEAST.numerator
     stars = met.join(smallest, "key").where((F.col("f.sid") != F.col("sid")) & long_enough).select(F.least("f.sid", "sid").alias("a"), F.greatest("f.sid", "sid").alias("b"))
-    first = _confirmed(stars.unionAll(proposed), sets, texts)
-    tied = written(_tied(first))
+    # one candidate for each set, then those that it left between components: a group's members agree on few smallest sets
+    tried = written(stars.unionAll(proposed).distinct())
+    hooks = written(_hooks(tried))
+    tied = written(_tied(_confirmed(hooks, sets, texts)))
+    rest = _between(tied, tried.join(hooks, ["a", "b"], "left_anti")).select("a", "b")
+    tied = written(_further(tied, _confirmed(rest, sets, texts)))
+    discard(hooks)
+    discard(tried)
     named = met.join(tied, met.sid == tied.node, "left").select("key", "n", "pos", "sid", F.coalesce("component", "sid").alias("comp"))
     split = named.groupBy("key").agg((F.min("comp") != F.max("comp")).alias("split")).where("split").select("key")
     left = named.join(split, "key").join(sets.select("sid", "sketch"), "sid").select("key", "n", "pos", "sid", "comp", "sketch")
-    tried = left.repartition("key").sortWithinPartitions("key", "n", "sid").mapInArrow(_apart, "a long, b long")
-    second = _confirmed(tried, sets, texts)
+    pairs = left.repartition("key").sortWithinPartitions("key", "n", "sid").mapInArrow(_apart, "a long, b long")
+    second = _confirmed(pairs, sets, texts)
     discard(met)
     discard(sets)
     return _further(tied, second)
