@@ -56,17 +56,30 @@ def goes_left(tree: Tree, x: np.ndarray, k: np.ndarray | int) -> np.ndarray:
     return np.where(f < 0, True, np.where(b == MISSING, tree.missing_left[k], b <= tree.cut[k]))
 
 
+def goes_right(tree: Tree, x: np.ndarray, k: int) -> np.ndarray | np.uint8:
+    """1 for each row of bins that goes right at split k, else 0: a table of all bins, looked up by bytes."""
+    if tree.feature[k] < 0:
+        return np.uint8(0)
+    table = (np.arange(256) > tree.cut[k]).astype(np.uint8)
+    table[MISSING] = not tree.missing_left[k]
+    return np.frombuffer(x[:, tree.feature[k]].tobytes().translate(table.tobytes()), np.uint8)
+
+
 def reached(tree: Tree, x: np.ndarray, levels: int) -> np.ndarray:
     """The node, counted from the left, that each row has reached after so many levels."""
-    node = np.zeros(len(x), np.int64)
+    node = np.zeros(len(x), np.uint8 if levels < 8 else np.int64)
     for d in range(levels):
-        node = 2 * node + ~goes_left(tree, x, node + (1 << d) - 1)
-    return node
+        right = np.zeros_like(node)
+        for k in range(1 << d):
+            right |= (node == k) & goes_right(tree, x, (1 << d) - 1 + k)
+        node = 2 * node + right
+    return node.astype(np.int64)
 
 
 def margins(model: Model, x: np.ndarray, since: int = 0) -> np.ndarray:
     """Sum of the trees from one on, without the start."""
     out = np.zeros(len(x))
+    x = np.asfortranarray(x)
     for tree in model.trees[since:]:
         out += tree.value[reached(tree, x, tree.depth)]
     return out
@@ -103,20 +116,30 @@ def binned(df: DataFrame, features: list[str], label: str, edges: list[np.ndarra
 
 
 def matrix(col, width: int, kind=np.uint8) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), kind).reshape(len(col), width)
+    """Rows of equally many bytes as an array, without a Python object for each."""
+    size = width * np.dtype(kind).itemsize
+    col = pa.concat_arrays([col]) if not isinstance(col, pa.ChunkedArray) else col.combine_chunks()
+    if not len(col) or not size:
+        return np.zeros((len(col), width), kind)
+    fixed = col.cast(pa.binary(size))
+    return np.frombuffer(fixed.buffers()[1], kind, len(fixed) * width, fixed.offset * size).reshape(len(fixed), width)
+
+
+def folds_of(col) -> np.ndarray:
+    return col.flatten().to_numpy().astype(np.int32).reshape(len(col), -1) if len(col) else np.zeros((0, 0), np.int32)
 
 
 def training(model: Model, folds: np.ndarray) -> np.ndarray | slice:
     return slice(None) if model.left_out is None else folds[:, model.left_out[0]] != model.left_out[1]
 
 
-def level_sums(batch_x: np.ndarray, y: np.ndarray, margin: np.ndarray, node: np.ndarray, features: tuple[int, ...], nodes: int) -> np.ndarray:
+def level_sums(x: np.ndarray, y: np.ndarray, margin: np.ndarray, node: np.ndarray, features: tuple[int, ...], nodes: int) -> np.ndarray:
     """rows, gradients and curvatures (fixed point) by feature, node and bin."""
     p = 1 / (1 + np.exp(-margin))
     g, h = np.rint((p - y) * UNIT), np.rint(p * (1 - p) * UNIT)
-    out = np.empty((3, len(features), nodes, 256))
+    out, at = np.empty((3, len(features), nodes, 256)), node * 256
     for k, f in enumerate(features):
-        key = node * 256 + batch_x[:, f]
+        key = at + x[:, f]
         for s, w in enumerate((None, g, h)):
             out[s, k] = np.bincount(key, w, nodes * 256).reshape(nodes, 256)
     return out.astype(np.int64)
@@ -151,22 +174,20 @@ def best_splits(sums: np.ndarray, features: tuple[int, ...], edges: list[np.ndar
 def fit(rows: DataFrame, models: list[Model], edges: list[np.ndarray], trees: int = 200, rate: float = 0.05, depth: int = 3, least: int = 10, l2: float = 1.0, settle: int = 10) -> list[Model]:
     """The models with their trees, from rows of y, x and folds (an array of ints), as binned gives.
 
-    Every settle trees the rows are written with what the trees so far give them.
+    Every settle trees the rows are written with what the trees so far give them; before that they carry no margins.
+    Below the top only left children are summed: a right child's sums are its parent's less its sibling's, in whole numbers.
     """
     width, wide = len(edges), max([m.left_out[0] for m in models if m.left_out], default=-1) + 1
     schema = "model int, feature int, node int, bin int, n long, g long, h long"
 
     def unpacked(b):
-        folds = np.array(b["folds"].to_pylist(), np.int32).reshape(b.num_rows, -1) if wide else None
-        return matrix(b["x"], width), b["y"].to_numpy(), folds, matrix(b["m"], len(models), np.float64)
-
-    def starts(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([b"\0" * (8 * len(models))] * b.num_rows, pa.binary())], names=[*b.schema.names, "m"])
+        before = matrix(b["m"], len(models), np.float64) if "m" in b.schema.names else np.zeros((1, len(models))).repeat(b.num_rows, 0)
+        return np.asfortranarray(matrix(b["x"], width)), b["y"].to_numpy(), folds_of(b["folds"]) if wide else None, before
 
     kept = rows.select("y", "x", *(["folds"] if wide else []))
+    names = kept.columns
     with_m = T.StructType([*kept.schema.fields, T.StructField("m", T.BinaryType())])
-    rows = kept.mapInArrow(starts, with_m)
+    rows = kept
     counts = kept.groupBy(*(["folds"] if wide else [])).agg(F.count("*").alias("n"), F.sum("y").alias("y")).collect()  # as many rows as there are combinations of folds
     for m in models:
         mine = [r for r in counts if m.left_out is None or r.folds[m.left_out[0]] != m.left_out[1]]
@@ -177,16 +198,20 @@ def fit(rows: DataFrame, models: list[Model], edges: list[np.ndarray], trees: in
         for m in models:
             size = (1 << depth) - 1
             m.trees.append(Tree(np.full(size, -1), np.zeros(size, np.int64), np.ones(size, bool), np.zeros(size + 1)))
+        above: dict[int, np.ndarray] = {}
         for d in range(depth):
+            half = max(1, 1 << d >> 1)
 
-            def sums(batches, d=d, since=since):
-                total = [np.zeros((3, len(m.features), 1 << d, 256), np.int64) for m in models]
+            def sums(batches, d=d, since=since, half=half):
+                total = [np.zeros((3, len(m.features), half, 256), np.int64) for m in models]
                 for b in batches:
                     x, y, folds, before = unpacked(b)
                     for k, m in enumerate(models):
-                        use = training(m, folds)
                         grown = Model(m.features, trees=m.trees[:-1])
-                        total[k] += level_sums(x[use], y[use], m.start + before[use, k] + margins(grown, x[use], since), reached(m.trees[-1], x[use], d), m.features, 1 << d)
+                        margin, node = m.start + before[:, k] + margins(grown, x, since), reached(m.trees[-1], x, d)
+                        use = np.ones(len(x), bool) if m.left_out is None else training(m, folds)
+                        use = np.flatnonzero(use & (node % 2 == 0))
+                        total[k] += level_sums(x[use], y[use], margin[use], node[use] >> 1 if d else node[use], m.features, half)
                 for k, m in enumerate(models):
                     f, node, at = np.nonzero(total[k][0])
                     cols = [np.full(len(f), k), np.array(m.features)[f], node, at]
@@ -196,10 +221,13 @@ def fit(rows: DataFrame, models: list[Model], edges: list[np.ndarray], trees: in
             got = {c: v.to_numpy() for c, v in zip(found.columns, found.toArrow().combine_chunks().itercolumns())}  # bounded by the models' size
             for k, m in enumerate(models):
                 mine = got["model"] == k
-                whole = np.zeros((3, len(m.features), 1 << d, 256), np.int64)
+                whole = np.zeros((3, len(m.features), half, 256), np.int64)
                 place = np.searchsorted(m.features, got["feature"][mine])
                 for s, c in enumerate("ngh"):
                     whole[s, place, got["node"][mine], got["bin"][mine]] = got[c][mine]
+                if d:
+                    whole = np.stack([whole, above[k] - whole], axis=3).reshape(3, len(m.features), 1 << d, 256)
+                above[k] = whole
                 tree = m.trees[-1]
                 for node, (f, cut, missing_left, g, h) in enumerate(best_splits(whole, m.features, edges, least, l2)):
                     at = (1 << d) - 1 + node
@@ -212,7 +240,7 @@ def fit(rows: DataFrame, models: list[Model], edges: list[np.ndarray], trees: in
                 for b in batches:
                     x, _, _, before = unpacked(b)
                     now = before + np.stack([margins(m, x, since) for m in models], axis=1)
-                    yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([r.tobytes() for r in now], pa.binary())], names=b.schema.names)
+                    yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array([r.tobytes() for r in now], pa.binary())], names=[*names, "m"])
 
             rows, since = settled(rows.mapInArrow(moved, with_m)), t + 1
     return models
@@ -237,7 +265,7 @@ def scored(rows: DataFrame, models: list[Model], keep: list[str], width: int) ->
     def run(batches):
         for b in batches:
             x = matrix(b["x"], width)
-            folds = np.array(b["folds"].to_pylist(), np.int32).reshape(b.num_rows, -1) if wide else None
+            folds = folds_of(b["folds"]) if wide else None
             for k, m in enumerate(models):
                 use = np.arange(b.num_rows) if m.left_out is None else np.flatnonzero(folds[:, m.left_out[0]] == m.left_out[1])
                 part = b.take(pa.array(use))

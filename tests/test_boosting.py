@@ -156,3 +156,24 @@ def test_odd_tables(spark):
     none = bo.binned(df.where("false"), ["a", "b"], "y", edges, [])
     assert (bo.margins(bo.fit(none, [bo.Model((0, 1))], edges, trees=1)[0], np.zeros((1, 2), np.uint8)) == 0).all()
     assert bo.cross_validated(df.where("y is not null"), {"g": ["a"]}, "y", ["j"], 1, 2, 4, trees=1).first().auc is not None
+
+
+def test_rows_carry_no_margins_until_settled_and_right_children_are_not_summed(spark, ready, monkeypatch):
+    """Twenty models of depth 2: what the tasks take in and what they give for the second level."""
+    rows, edges, *_ = ready
+    models, seen = [bo.Model((0, 1), (r % 2, r % 3)) for r in range(20)], []
+    cls = type(rows)
+    plain = cls.mapInArrow
+    monkeypatch.setattr(cls, "mapInArrow", lambda self, f, schema, *a, **k: (seen.append((set(self.columns), plain(self, f, schema, *a, **k))), seen[-1][1])[1])
+    bo.fit(rows, models, edges, trees=1, rate=0.3, depth=2)
+    assert all("m" not in took for took, _ in seen)
+    assert {r.node for r in seen[-1][1].select("node").distinct().collect()} == {0}
+
+
+def test_arrays_from_sliced_columns():
+    import pyarrow as pa
+
+    col = pa.array([bytes([k, k + 1]) for k in range(9)], pa.binary())
+    assert bo.matrix(col.slice(3, 4), 2).tolist() == [[k, k + 1] for k in range(3, 7)]
+    assert bo.folds_of(pa.array([[k, 2 * k] for k in range(9)], pa.list_(pa.int32())).slice(2, 3)).tolist() == [[2, 4], [3, 6], [4, 8]]
+    assert bo.matrix(col.slice(0, 0), 2).shape == (0, 2)
