@@ -5,11 +5,14 @@ filtering): of n shingles those at the first n - ceil(AT_LEAST n) + 1 places. Th
 Sets that meet under a shingle are candidates where their sizes and the shingle's places in them allow the similarity;
 the shingles of both then decide. Nothing is estimated, so no pair is missed.
 
-Candidates are tried in two rounds. The first takes pairs that SimHash fingerprints propose (see simhash) and links everything under a shingle to its smallest set, which takes one
-candidate for each row; the second tries only pairs that the first left in different components. So a large group of near
-copies costs as many rows as it has members. Pairs under a shingle that many unlike texts share are thinned by a bound:
-the bits in which two sets' sketches differ are at most the shingles in which the sets do. A wider sketch, of two bits and
-more for each shingle, does the same for each pair that is left before the shingles themselves are fetched.
+Candidates are tried in three rounds. The first takes pairs that SimHash fingerprints propose (see simhash) and pairs
+everything under a shingle with the set there whose shingles are shared most, which is the likeliest to be what the others
+were copied from; that takes one candidate for each row. The other two try only pairs that are still in different
+components: the second of each set under a shingle the likeliest partner, the third all. So a large group of near copies
+costs about as many rows as it has members, unless it holds together by few links. Pairs under a shingle that many unlike
+texts share are thinned by a bound: the bits in which two sets' sketches differ are at most the shingles in which the sets
+do. A wider sketch, of two bits and more for each shingle, does the same for each pair that is left before the shingles
+themselves are fetched.
 """
 
 from __future__ import annotations
@@ -116,8 +119,11 @@ def _shingled(texts: DataFrame) -> DataFrame:
     return texts.select("sid", F.col("text").cast("binary").alias("text")).mapInArrow(run, "sid long, own binary")
 
 
-def _apart(batches):
-    """Rows sorted by key, n: pairs of one key, of different components, that sizes, places and sketches allow."""
+def _apart(batches, best: bool = False):
+    """Rows sorted by key, n: pairs of one key, of different components, that sizes, places and sketches allow.
+
+    best: of each row's pairs (in an array of BLOCK) only that whose sketches leave most room.
+    """
     held = None
     up, down = AT_LEAST.numerator, AT_LEAST.denominator
 
@@ -141,7 +147,13 @@ def _apart(batches):
                 ok = 1 + np.minimum(nx - pos[x] - 1, ny - pos[y] - 1) >= need
                 x, y, most = x[ok], y[ok], (nx + ny - 2 * need)[ok]
                 differ = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
-                x, y = x[differ <= most], y[differ <= most]
+                ok = differ <= most
+                x, y, room = x[ok], y[ok], (most - differ)[ok]
+                if best:
+                    order = np.argsort(-room, kind="stable")
+                    ends = [np.unique(z[order], return_index=True)[1] for z in (x, y)]
+                    own = order[np.union1d(*ends)]
+                    x, y = x[own], y[own]
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sid[x], sid[y])), pa.array(np.maximum(sid[x], sid[y]))], names=["a", "b"])
 
@@ -174,7 +186,7 @@ def _thinned(pairs: DataFrame, sets: DataFrame, sketch: str) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs a, b whose sets are similar enough."""
+    """The pairs a, b whose sets are similar enough, of those that their narrow sketches allow."""
     up, down = AT_LEAST.numerator, AT_LEAST.denominator
 
     def run(batches):
@@ -186,9 +198,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame
                 keep.append(both * down >= up * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    # by the narrow sketch, then by the wide one of the pairs that are left
-    narrow = _thinned(pairs.distinct(), sets, "sketch")
-    left = written(_thinned(narrow, sets, "wide"))
+    left = written(_thinned(pairs.distinct(), sets, "wide"))
     # only the sets that still are in a pair are fetched, once
     wanted = left.select(F.col("a").alias("sid")).unionAll(left.select(F.col("b").alias("sid"))).distinct()
     own = written(_shingled(texts.join(wanted, "sid")))
@@ -214,27 +224,48 @@ def _tied(links: DataFrame) -> DataFrame:
     return _further(written(components(hooks)), links)
 
 
+def _most_shared(met: DataFrame) -> DataFrame:
+    """key, f (n, sid of a set): under each key the set whose own keys have most rows in met (key, sid, n, many), so that near sets get the same."""
+    popular = met.groupBy("sid").agg(F.sum("many").alias("popular"))
+    return met.join(popular, "sid").groupBy("key").agg(F.max(F.struct("popular", "n", "sid")).alias("f"))
+
+
+def _gathered(rows: DataFrame) -> DataFrame:
+    """rows with all of a key in one partition, sorted by key, n and sid.
+
+    Partitioned by a hash of key and not by key itself: where rows come from a join by key, Spark would see that partitioning
+    as there already, drop this one and then read the join's shuffle by parts of a key, as mapInArrow asks for no partitioning.
+    """
+    return rows.repartition(F.xxhash64("key")).sortWithinPartitions("key", "n", "sid")
+
+
+def _tried(met: DataFrame, tied: DataFrame, sets: DataFrame, best: bool) -> DataFrame:
+    """a, b of one key in met that tied (node, component) leaves in different components and sketches allow: of each set's the likeliest, or all."""
+    named = met.join(tied, met.sid == tied.node, "left").select("key", "n", "pos", "sid", F.coalesce("component", "sid").alias("comp"))
+    split = named.groupBy("key").agg((F.min("comp") != F.max("comp")).alias("split")).where("split").select("key")
+    left = named.join(split, "key").join(sets.select("sid", "sketch"), "sid").select("key", "n", "pos", "sid", "comp", "sketch")
+    return _gathered(left).mapInArrow(lambda batches: _apart(batches, best), "a long, b long")
+
+
 def similar_components(texts: DataFrame, proposed: DataFrame) -> DataFrame:
     """node, component over sid, text (each sid once): for each sid but the smallest of its component, that smallest.
 
     Sets are linked if their Jaccard similarity is AT_LEAST or more. proposed holds candidates a < b (of sids) that were
-    found otherwise; they are confirmed in the first round and spare the second those that they tie. No rows: no rows.
+    found otherwise; they are confirmed in the first round and spare the others those that they tie. No rows: no rows.
     """
     sets = written(_sets(texts))
     prefixes = _prefixes(texts)
-    shared = prefixes.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key")
+    shared = prefixes.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
     met = written(prefixes.join(shared, "key"))
-    # the smallest set under each shingle with all others that it can be similar to by size
-    smallest = met.groupBy("key").agg(F.min(F.struct("n", "sid")).alias("f"))
-    long_enough = F.col("f.n") * AT_LEAST.denominator >= F.col("n") * AT_LEAST.numerator
-    stars = met.join(smallest, "key").where((F.col("f.sid") != F.col("sid")) & long_enough).select(F.least("f.sid", "sid").alias("a"), F.greatest("f.sid", "sid").alias("b"))
-    first = _confirmed(stars.unionAll(proposed), sets, texts)
+    # the set under each shingle that is nearest to most with all others that it can be similar to by size
+    fits = F.least("f.n", "n") * AT_LEAST.denominator >= F.greatest("f.n", "n") * AT_LEAST.numerator
+    stars = met.join(_most_shared(met), "key").where((F.col("f.sid") != F.col("sid")) & fits).select(F.least("f.sid", "sid").alias("a"), F.greatest("f.sid", "sid").alias("b"))
+    first = _confirmed(_thinned(stars.unionAll(proposed).distinct(), sets, "sketch"), sets, texts)
     tied = written(_tied(first))
-    named = met.join(tied, met.sid == tied.node, "left").select("key", "n", "pos", "sid", F.coalesce("component", "sid").alias("comp"))
-    split = named.groupBy("key").agg((F.min("comp") != F.max("comp")).alias("split")).where("split").select("key")
-    left = named.join(split, "key").join(sets.select("sid", "sketch"), "sid").select("key", "n", "pos", "sid", "comp", "sketch")
-    tried = left.repartition("key").sortWithinPartitions("key", "n", "sid").mapInArrow(_apart, "a long, b long")
-    second = _confirmed(tried, sets, texts)
+    second = _confirmed(_tried(met, tied, sets, best=True), sets, texts)
+    tied, before = written(_further(tied, second)), tied
+    discard(before)
+    third = _confirmed(_tried(met, tied, sets, best=False), sets, texts)
     discard(met)
     discard(sets)
-    return _further(tied, second)
+    return _further(tied, third)
