@@ -11,6 +11,7 @@ decides the pattern, the sequence and the offset, so that every row finds its pl
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from itertools import chain
 
@@ -140,33 +141,33 @@ class Recent:
 
     def missing(self, keys: set[str]) -> list[str]:
         """Those of keys that aren't known; all others are in the present generation afterwards."""
-        need = [k for k in keys if k not in self.new]
+        need = keys.difference(self.new)
         if len(self.new) + len(need) > self.most:
             self.old, self.new = self.new, {}
             need = keys
-        out = []
-        for k in need:
-            if (x := self.old.get(k)) is None:
-                out.append(k)
-            else:
-                self.new[k] = x
-        return out
+        out = need.difference(self.old)
+        for k in need.difference(out) if len(out) < len(need) else ():
+            self.new[k] = self.old[k]
+        return list(out)
 
 
-#: Words of printable ASCII without an apostrophe: the tokenizer lower-cases them and reads runs of letters, single
-#: digits and runs of other signs apart, so that these pieces can be looked up by themselves.
-_PLAIN, _RUNS = re.compile(r"[!-&(-~]+"), re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
+#: Words of printable ASCII without an apostrophe and of Latin-1 letters: the tokenizer lower-cases them and reads runs of
+#: letters, single digits and runs of other signs apart, so that these pieces can be looked up by themselves.
+_PLAIN = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_RUNS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+#: The signs that stand for bytes in the tokenizer's pieces, where they aren't the code points of the same number.
+_BYTES = {b: chr(256 + i) for i, b in enumerate([*range(33), *range(127, 161), 173])}
 
 
 class Ids:
     """Little-endian unsigned 32-bit ids of texts, white space apart, by word: the tokenizer's words never cross it."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer
 
-        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = self.bare.encode_special_tokens = True
-        self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.Split(" ", "removed")
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.merged = self.tokenizer.model.tokenize  # of one piece, as the normalizer and the splits leave it
         self.words, self.runs = Recent(REMEMBERED), Recent(REMEMBERED)
 
     @staticmethod
@@ -179,13 +180,24 @@ class Ids:
             ends = (np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(part) + 1)) * 4).tolist()
             yield from (raw[i:j] for i, j in zip(ends, ends[1:]))
 
+    def _piece(self, piece: str) -> bytes:
+        piece = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES)
+        ids = [t.id for t in self.merged(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def encode(self, text: str) -> bytes:
         words = text.split() if not any(c in text for c in SEPARATORS) else re.split(r"[^\S\x1c-\x1f]+", text)
         if missing := self.words.missing(set(words)):
-            plain = [(w, _RUNS.findall(w.lower())) for w in missing if _PLAIN.fullmatch(w)]
-            other = [w for w in missing if not _PLAIN.fullmatch(w)]
-            runs = self.runs.missing({r for _, own in plain for r in own})
-            self.runs.new.update(zip(runs, self._each(self.bare, runs)))
+            plain, other = [], []
+            for w in missing:
+                if w.isalpha() and w.isascii():  # one run
+                    self.words.new[w] = self._piece(w.lower())
+                elif _PLAIN.fullmatch(w):
+                    plain.append((w, _RUNS.findall(w.lower())))
+                else:
+                    other.append(w)
+            for r in self.runs.missing({r for _, own in plain for r in own}):
+                self.runs.new[r] = self._piece(r)
             self.words.new.update((w, b"".join(map(self.runs.new.__getitem__, own))) for w, own in plain)
             self.words.new.update(zip(other, self._each(self.tokenizer, other)))
         return b"".join(map(self.words.new.__getitem__, words))

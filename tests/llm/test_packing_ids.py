@@ -21,3 +21,20 @@ def test_ids_equal_the_tokenizer(monkeypatch, most):
     texts.append(" ".join("".join(rng.choices("abcde.1", k=6)) for _ in range(3000)))
     for text, want in zip(texts, whole.encode_batch(texts, add_special_tokens=False)):
         assert np.frombuffer(ids.encode(text), "<u4").tolist() == want.ids
+
+
+def test_words_of_latin_letters_are_looked_up_by_their_runs(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, ids, rng = Tokenizer.from_file(path), packing.Ids(path), random.Random(4)
+    whole.encode_special_tokens = True
+    asked = []
+    each = packing.Ids._each
+    monkeypatch.setattr(packing.Ids, "_each", staticmethod(lambda tokenizer, words: asked.extend(words) or each(tokenizer, words)))
+    latin = [chr(c) for c in range(0xA1, 0x100)]
+    texts = [a + b for a in latin for b in ("", "e", "E", ".", "7", "\u0301")] + [f"x{a}Y" for a in latin]
+    texts += ["".join(rng.choices([*latin, *"abcXYZ019.,-%"], k=rng.randrange(1, 15))) for _ in range(3000)]
+    for text, want in zip(texts, whole.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(ids.encode(text), "<u4").tolist() == want.ids
+    before = len(asked)
+    ids.encode("Reonier Éèpa. oucheaué %%%lesenèanier, Straße-12")
+    assert len(asked) == before
