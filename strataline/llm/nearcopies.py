@@ -1,7 +1,11 @@
 """Near copies of whole texts: all links of a Jaccard similarity of AT_LEAST between sets of five-word shingles, exactly.
 
 Two sets that are so similar share a shingle among the first of each, in any one order of all shingles (prefix
-filtering): of n shingles those at the first n - ceil(AT_LEAST n) + 1 places. The order is that of the shingles' hashes.
+filtering): of n shingles those at the first n - ceil(AT_LEAST n) + 1 places. Rare shingles come first in the order, then
+common ones, the most common last, and equally common ones by their hashes: so a line that very many unlike texts hold is
+among the first of few. Which are common is counted in one text of COUNTED; any order finds all pairs, this one only meets
+fewer others.
+
 Sets that meet under a shingle are candidates where their sizes and the shingle's places in them allow the similarity;
 the shingles of both then decide. Nothing is estimated, so no pair is missed.
 
@@ -35,6 +39,8 @@ WORDS_EACH, AT_LEAST = 5, Fraction(4, 5)
 SKETCH = 4
 #: Candidate pairs compared in one array.
 BLOCK = 1 << 20
+#: A shingle is common that OFTEN or more of the texts counted hold (one in COUNTED), if no more than COMMON are so.
+COUNTED, OFTEN, COMMON = 8, 3, 1 << 17
 
 
 def shingles(text: bytes, words_each: int = WORDS_EACH) -> np.ndarray:
@@ -93,12 +99,44 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.select("sid", F.col("text").cast("binary").alias("text")).mapInArrow(run, "sid long, n int, sketch binary, wide binary")
 
 
-def _prefixes(texts: DataFrame) -> DataFrame:
-    """key (a shingle), sid, n, pos for the first shingles of each set."""
+def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted common shingles and how many of the texts counted hold each: at most COMMON, the most common ones."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             own = [shingles(t or b"") for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own or [np.zeros(0, np.uint64)]).view(np.int64))], names=["key"])
+
+    counted = texts.where(F.pmod(F.xxhash64("sid"), F.lit(COUNTED)) == 0).select(F.col("text").cast("binary").alias("text"))
+    held = written(counted.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") >= OFTEN))
+    least, so_far = OFTEN, 0
+    for r in sorted(held.groupBy("many").count().collect(), reverse=True):  # a row for each number of texts that occurs
+        so_far += r["count"]
+        if so_far > COMMON:
+            least = r.many + 1
+            break
+    found = held.where(F.col("many") >= least).toArrow()
+    discard(held)
+    key, many = found["key"].to_numpy().view(np.uint64), found["many"].to_numpy()
+    at = np.argsort(key)
+    return key[at], many[at]
+
+
+def ordered(own: np.ndarray, key: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Sorted shingles in the order of the prefixes: those not in key, then the others by many."""
+    if not len(key):
+        return own
+    at = np.minimum(np.searchsorted(key, own), len(key) - 1)
+    return own[np.argsort(np.where(key[at] == own, many[at], 0), kind="stable")]
+
+
+def _prefixes(texts: DataFrame, key: np.ndarray, many: np.ndarray) -> DataFrame:
+    """key (a shingle), sid, n, pos for the first shingles of each set, where key are common ones that many texts hold."""
+    common = texts.sparkSession.sparkContext.broadcast((key, many))
+
+    def run(batches):
+        for b in batches:
+            own = [ordered(shingles(t or b""), *common.value) for t in b["text"].to_pylist()]
             n = np.array([len(x) for x in own], np.int32)
             many = [k - math.ceil(AT_LEAST * k) + 1 for k in n.tolist()]
             at = np.repeat(np.arange(len(n)), many)
@@ -254,7 +292,7 @@ def similar_components(texts: DataFrame, proposed: DataFrame) -> DataFrame:
     found otherwise; they are confirmed in the first round and spare the others those that they tie. No rows: no rows.
     """
     sets = written(_sets(texts))
-    prefixes = _prefixes(texts)
+    prefixes = _prefixes(texts, *_common(texts))
     shared = prefixes.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
     met = written(prefixes.join(shared, "key"))
     # the set under each shingle that is nearest to most with all others that it can be similar to by size

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from strataline.llm import nearcopies
@@ -68,3 +69,46 @@ def test_a_group_around_one_text_costs_its_members(spark, monkeypatch):
     none = spark.createDataFrame([], "a long, b long")
     got = nearcopies.similar_components(df, none).collect()
     assert {r.node for r in got} == set(range(1, 202)) and sum(counted) < 5 * len(texts)
+
+
+def test_a_line_that_many_long_unlike_texts_hold_pairs_few(spark):
+    # too long for the narrow sketch to tell them apart; two are alike
+    rng = random.Random(4)
+    line = " ".join(f"line{i}" for i in range(40))
+    texts = [f"{line} " + " ".join(f"t{k}w{i}" for i in range(900)) for k in range(160)]
+    words = texts[7].split()
+    words[rng.randrange(100, 900)] = "new"
+    texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "sid long, text string").repartition(4)
+    tried = []
+    plain = nearcopies._tried
+
+    def counting(*args, **how):
+        out = plain(*args, **how)
+        tried.append(out.distinct().count())
+        return out
+
+    nearcopies._tried = counting
+    try:
+        got = {r.node: r.component for r in nearcopies.similar_components(df, spark.createDataFrame([], "a long, b long")).collect()}
+    finally:
+        nearcopies._tried = plain
+    assert got == {160: 7} and sum(tried) < 100
+
+
+def test_rare_shingles_first():
+    own, key = np.array([2, 3, 5, 8, 9], np.uint64), np.array([3, 4, 8], np.uint64)
+    assert nearcopies.ordered(own, key, np.array([7, 9, 4])).tolist() == [2, 5, 9, 8, 3]
+    assert nearcopies.ordered(own, key[:0], np.zeros(0, np.int64)).tolist() == own.tolist()
+
+
+def test_common_shingles_are_the_most_common(spark, monkeypatch):
+    texts = ["a b c d e f"] * 5 + ["a b c d e"] * 4 + ["f g h i j"] * 3 + ["once only"]
+    df = spark.createDataFrame(list(enumerate(texts)), "sid long, text string")
+    names = {x: int(nearcopies.shingles(x.encode())[0]) for x in ("a b c d e", "b c d e f", "f g h i j")}
+    want = {names["a b c d e"]: 9, names["b c d e f"]: 5, names["f g h i j"]: 3}
+    monkeypatch.setattr(nearcopies, "COUNTED", 1)
+    for most, least in ((3, 3), (2, 5), (1, 9), (0, 10)):
+        monkeypatch.setattr(nearcopies, "COMMON", most)
+        key, many = nearcopies._common(df)
+        assert list(key) == sorted(key) and dict(zip(key.tolist(), many.tolist())) == {k: v for k, v in want.items() if v >= least}
