@@ -296,7 +296,8 @@ def numbered(rows: DataFrame) -> tuple[DataFrame, int]:
     before, n = {}, 0
     for r in sizes:
         before[r.p], n = n, n + r["count"]
-    ends = F.broadcast(rows.sparkSession.createDataFrame(list(before.items()) or [(0, 0)], "_p long, _before long"))
+    # from Arrow: rows of Python objects would start another kind of Python worker beside that of mapInArrow in each executor
+    ends = F.broadcast(rows.sparkSession.createDataFrame(pa.table({"_p": pa.array(list(before) or [0], pa.int64()), "_before": pa.array(list(before.values()) or [0], pa.int64())})))
     return marked.withColumn("_p", part).join(ends, "_p").withColumn("at", F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_p", "_id", "_before"), n
 
 

@@ -177,3 +177,10 @@ def test_arrays_from_sliced_columns():
     assert bo.matrix(col.slice(3, 4), 2).tolist() == [[k, k + 1] for k in range(3, 7)]
     assert bo.folds_of(pa.array([[k, 2 * k] for k in range(9)], pa.list_(pa.int32())).slice(2, 3)).tolist() == [[2, 4], [3, 6], [4, 8]]
     assert bo.matrix(col.slice(0, 0), 2).shape == (0, 2)
+
+
+def test_places_need_no_python_worker(spark, ready):
+    placed, n = bo.numbered(ready[0].select("y", "x"))
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert n == 400 and "LocalTableScan" in plan and plan.count("ExistingRDD") == 1
+    assert bo.numbered(ready[0].where("false").select("y", "x"))[0].count() == 0
