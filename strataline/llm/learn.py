@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def fold(id_col: str, of: int) -> Column:
@@ -38,7 +39,9 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, usable: Column
             fit.append((r.i, r.y, len(fit)))
     if not fit:
         return None
-    fit = docs.sparkSession.createDataFrame(fit, T.StructType([*marked.schema.fields, T.StructField("place", T.IntegerType())]))
+    # through Arrow: rows of Python objects would start a second kind of Python worker on each executor
+    held = T.StructType([*marked.schema.fields, T.StructField("place", T.IntegerType())])
+    fit = docs.sparkSession.createDataFrame(pa.table([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(zip(*fit), held)], names=held.names), held)
     longest = F.max(F.struct(F.length("text").alias("n"), "text"))
     return texts.join(F.broadcast(fit), "i").groupBy("place").agg(longest.alias("t"), F.max("y").alias("y")).select("place", F.col("t.text").alias("text"), "y")
 

@@ -77,7 +77,7 @@ def with_set(docs: DataFrame, text_col: str, out_col: str) -> DataFrame:
     """docs with a long column out_col, equal for texts of equal shingle sets. Null text counts as empty."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             names = np.array([set_name(shingles(t or b"")) for t in b[b.schema.names[-1]].to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.int64())], names=[*b.schema.names[:-1], out_col])
 
@@ -135,7 +135,7 @@ def _prefixes(texts: DataFrame, key: np.ndarray, many: np.ndarray) -> DataFrame:
     common = texts.sparkSession.sparkContext.broadcast((key, many))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             own = [ordered(shingles(t or b""), *common.value) for t in b["text"].to_pylist()]
             n = np.array([len(x) for x in own], np.int32)
             many = [k - math.ceil(AT_LEAST * k) + 1 for k in n.tolist()]
@@ -151,7 +151,7 @@ def _shingled(texts: DataFrame) -> DataFrame:
     """sid, own (the shingles as bytes)."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b["sid"], pa.array([shingles(t or b"").tobytes() for t in b["text"].to_pylist()], pa.binary())], names=["sid", "own"])
 
     return texts.select("sid", F.col("text").cast("binary").alias("text")).mapInArrow(run, "sid long, own binary")
@@ -184,7 +184,9 @@ def _apart(batches, best: bool = False):
                 need = -(-(nx + ny) * up // (up + down))
                 ok = 1 + np.minimum(nx - pos[x] - 1, ny - pos[y] - 1) >= need
                 x, y, most = x[ok], y[ok], (nx + ny - 2 * need)[ok]
-                differ = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
+                differ = np.zeros(len(x), np.int64)
+                for own in sketch.T:  # one long at a time: all of a pair at once take as much room as all else here
+                    differ += np.bitwise_count(own[x] ^ own[y])
                 ok = differ <= most
                 x, y, room = x[ok], y[ok], (most - differ)[ok]
                 if best:
@@ -215,7 +217,7 @@ def _thinned(pairs: DataFrame, sets: DataFrame, sketch: str) -> DataFrame:
     """The pairs a, b whose sizes and sketches allow the similarity."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 1024):
             keep = [may_be_similar(*r) for r in zip(*(b[c].to_pylist() for c in ("nx", "ny", "x", "y")))]
             yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -228,7 +230,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame
     up, down = AT_LEAST.numerator, AT_LEAST.denominator
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             keep = []
             for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, only
+from .common import cut, only, slices
 
 UNIT = 16
 #: Words, and runs within words, whose ids a generation of a Python worker remembers.
@@ -220,7 +220,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int, end_id: int) -> Da
     def run(batches):
         ids = ids_of(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        for b in slices(batches):
             out = []
             for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
                 raw = ids.encode(text or "") + end

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import nearcopies
-from .common import cut, discard, fresh, others, whole_id, written
+from .common import cut, discard, fresh, others, slices, whole_id, written
 from .components import Forest, components
 
 #: A value under which more distinct fingerprints meet is split further.
@@ -53,7 +53,7 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", out_col: str = "fi
     """docs with a long column out_col (the 64 bits as a signed number). Null or empty text, and text without words: 0."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fps = np.array([fingerprint(t or b"", words_each) for t in b[b.schema.names[-1]].to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps, pa.int64())], names=[*b.schema.names[:-1], out_col])
 

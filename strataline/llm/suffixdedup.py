@@ -154,7 +154,7 @@ def _suffixes(pieces: DataFrame, least: int) -> DataFrame:
     """s (the first least bytes) and place of every suffix of the pieces."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 1024):
             held, x = b["held"].to_pylist(), b["x"].to_numpy()
             many = np.array([len(raw) - least + 1 for raw in held], np.int64)
             of = np.repeat(np.arange(len(held)), many)
@@ -255,7 +255,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text_type = docs.schema[text_col].dataType
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             kept = [_kept(r, s).decode("utf-8", "ignore") if s else None for r, s in zip(b["raw"].to_pylist(), b["spans"].to_pylist())]
             yield pa.RecordBatch.from_arrays([b["row"], pa.array(kept, pa.string())], names=["row", "kept"])
 
@@ -273,7 +273,7 @@ def repeats_digest(docs: DataFrame, least: int = 100) -> DataFrame:
     named, spans = repeated_spans(docs.select("doc_id", "text"), "doc_id", "text", least)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = list(zip(b["raw"].to_pylist(), b["spans"].to_pylist()))
             gone = [sum(p["e"] - p["s"] for p in s or ()) for _, s in rows]
             yield pa.RecordBatch.from_arrays(

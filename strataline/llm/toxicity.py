@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, only, others
+from .common import fresh, only, others, slices
 from .learn import fold, labelled_rows, trained
 
 DECAY, SPAN, POWER = 0.8, 6, 2
@@ -38,7 +38,9 @@ TELLING, COMMON, UNLIKE = 160, 32, 0.6
 #: Labelled documents that training takes at most, and their characters in all.
 TRAIN_ROWS, TRAIN_CHARS = 4000, 12_000_000
 #: Words whose weight a worker remembers, and characters of texts that are looked at together.
-REMEMBERED, AT_ONCE = 500_000, 4_000_000
+REMEMBERED, AT_ONCE = 500_000, 1_000_000
+#: Words of one length whose kernels are summed in one array; what they share with the landmarks is hundreds of times as many rows.
+WORDS_AT_ONCE = 256
 
 _SENTENCE = re.compile(r"[.!?]+\s+|\n+")
 #: Digits that are put for letters; whatever else isn't a letter is left out.
@@ -147,8 +149,8 @@ class Kernel:
         for width in np.unique(size):
             same = np.flatnonzero(size == width)
             at, much = _triples(int(width))
-            for a in range(0, len(same), 4096):
-                rows = same[a : a + 4096]
+            for a in range(0, len(same), WORDS_AT_ONCE):
+                rows = same[a : a + WORDS_AT_ONCE]
                 letters = _code_points([words[i] for i in rows])
                 what = self._numbers(letters, at)
                 start = self.first[what]
@@ -308,8 +310,10 @@ def train(sample: list[tuple[str, int]]) -> Model:
                 told.append((ss[pick[0]], f[pick[0]]))
         rows.append(_with_letters_put_in(told, kernel, nystroem, w, rng))
         ys += [1.0] * len(told)
-        x, y = np.concatenate(rows).astype(float), np.array(ys)
+        x, y = np.concatenate(rows, dtype=float), np.array(ys)
+        del rows, told
         w = _svm(x, y, 0.5 * np.where(y > 0, (y < 0).sum() / max(1, (y > 0).sum()), 1.0))
+    del features, feats, bags, x
     model = Model(kernel, nystroem @ w[:-1], float(w[-1]))
     tested = sorted({w for ss, _ in unseen for s in ss for w in s})
     known = {}
@@ -374,7 +378,7 @@ def with_toxicity(docs: DataFrame, model: Model, text_col: str = "text", out_col
 
     def run(batches):
         for b in batches:
-            worst = worst_sentences(b.column(b.num_columns - 1).to_pylist(), shared.value)
+            worst = worst_sentences((t for part in slices([b]) for t in part.column(b.num_columns - 1).to_pylist()), shared.value)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(shared.value.probability(np.array(worst, float)))], names=[*b.schema.names[:-1], out_col])
 
     schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField(out_col, T.DoubleType())])
